@@ -25,7 +25,7 @@ LEAF = ("_domain", "_lang", "_source")
 #: Leaves up to this many are broadcast as a lookup; more are joined by shuffle.
 BROADCAST_LEAVES = 10_000
 #: Rows of one leaf summed up in one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def default_domain(source: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, mixing, packing
+from . import ann, embed_dedup, langid, mixing, packing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_read(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 #: Shares of the mixture; leaves without one keep their natural share of what their parent gets.
 TARGETS = {("web",): 0.5, ("books",): 0.3, ("forums",): 0.2, ("web", "en"): 0.5, ("books", "en"): 0.6, ("forums", "en"): 0.6}
 
@@ -39,6 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_graph_search": op1_graph_search,
         "op3_embedding_near_dedup": op3_embedding_near_dedup,
+        "op7_language_id": op7_language_id,
+        "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op10_hierarchical_mix": op10_hierarchical_mix,
     }
