@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, langid, mixing, packing, quality, toxicity
+from . import ann, embed_dedup, langid, mixing, ngram_join, packing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ def op10_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_graph_search": op1_graph_search,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_embedding_near_dedup": op3_embedding_near_dedup,
         "op7_language_id": op7_language_id,
         "op8_toxicity": op8_toxicity,
