@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, langid, mixing, ngram_join, packing, quality, toxicity
+from . import ann, embed_dedup, katz, langid, mixing, ngram_join, packing, quality, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
+
+
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +64,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_graph_search": op1_graph_search,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_embedding_near_dedup": op3_embedding_near_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_katz_scores": op5_katz_scores,
         "op7_language_id": op7_language_id,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
