@@ -327,8 +327,8 @@ def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((ids["least"] or 0) - 1)) * ids["most"] + at))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``docs`` with _kept (the remaining bytes), _n_bytes, _n_removed and _n_spans."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """``docs`` with _kept (the remaining bytes; as_text: the text of those that still make characters), _n_bytes, _n_removed and _n_spans."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     keyed = _keyed(docs, scratch)
@@ -357,9 +357,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 kept.append(b"".join(raw[i:j] for i, j in zip(np.r_[0, e], np.r_[s, len(raw)], strict=True)) if m else raw)
             cols = [b.column(i) for i, c in enumerate(b.schema.names) if c not in ("_ranges", "_doc")]
             names = [c for c in b.schema.names if c not in ("_ranges", "_doc")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())], names=[*names, "_kept", "_n_bytes", "_n_removed", "_n_spans"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())], names=[*names, "_kept", "_n_bytes", "_n_removed", "_n_spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _kept binary, _n_bytes long, _n_removed long, _n_spans long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", _kept {'string' if as_text else 'binary'}, _n_bytes long, _n_removed long, _n_spans long"
     return keyed.join(ranges, "_doc", "left").select(*docs.columns, "_doc", "_ranges").mapInArrow(apply, schema)
 
 
