@@ -9,9 +9,11 @@ the feature domain is cut into n partitions by hash. Sets that are similar enoug
   long as one of them has no more than ``spare`` empty partitions; a set with more also gives one signature that says so.
 
 Identical sets are one class and cost no pairs. In each signature's bucket the classes are first compared with the
-bucket's smallest one; buckets that this leaves in several components are then settled exactly: by their cross pairs where
-few cross a large component, else in blocks of bounded size that emit only a spanning forest of links. Every link is
-verified on the whole sets.
+bucket's smallest one. Buckets that this leaves in several components are then settled exactly: small ones by the pairs
+that cross components, each counted over all buckets and kept only if it shares as many signatures as similar sets must;
+large ones in blocks of bounded size, without a row for a pair that can't be similar. A pair comes to its whole sets only
+if a sketch, 16 bits for each feature of three eighths of the domain, doesn't already prove more differences than
+similar sets may have. Every link is verified on the whole sets.
 
 Rows: null, empty and blank texts have the empty set and link with nothing; fewer words than a shingle are one feature. Rows
 that repeat a doc_id are documents of their own with the same component. Sets are compared by 64-bit hashes of their
@@ -41,6 +43,8 @@ GROUP_BYTES = 12 << 20
 BROADCAST_ROWS = 500_000
 #: Sets of one side of a comparison block.
 BLOCK = 512
+#: Buckets up to this many classes (or with so few crossing pairs for each) are settled by pairs, larger ones in blocks.
+PAIRED = 64
 
 
 class Bands:
@@ -68,9 +72,19 @@ class Bands:
         for name in ("lo", "hi", "k", "n", "spare"):
             setattr(self, name, np.array(getattr(self, name)))
 
+        self.percent = percent
+
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lo, sizes, "right") - 1
 
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Features in which similar sets of these sizes differ at most."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
+    def must(self, inst: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Signatures of an instance that similar sets of these sizes share at least."""
+        return np.where(self.k[inst] <= 2, 1, np.maximum(1, self.k[inst] + 1 - self.differ(a, b)))
+
 
 def sets_of(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature) of distinct shingles in order, features of each row, fingerprint of each row's set."""
@@ -114,8 +128,11 @@ def signatures(row: np.ndarray, h: np.ndarray, counts: np.ndarray, bands: Bands,
         out_sig.append(sig[many])
         empties = parts - np.bincount(owner[filled], minlength=len(counts))
         bare = np.flatnonzero(on & ~few & (empties > bands.spare[inst]))
-        out_row.append(bare)
-        out_sig.append(_text.mix(inst[bare].astype(_U) + _U(0x3C6EF372FE94F82B)))
+        if len(bare):  # as often as similar sets must share a signature
+            times = bands.must(inst[bare], bands.lo[inst[bare]] * percent // 100, bands.lo[inst[bare]] * percent // 100)
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            out_row.append(np.repeat(bare, times))
+            out_sig.append(_text.mix((nth.astype(_U) << _U(32)) + np.repeat(inst[bare], times).astype(_U) + _U(0x3C6EF372FE94F82B)))
         for k in (1, 2):
             which = np.flatnonzero(on & (bands.k[inst] == k))
             if len(which):
@@ -132,6 +149,25 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """16 bits of each feature of three eighths of the domain, sorted."""
+    x = _text.mix(h ^ _U(0x6A09E667F3BCC909))
+    return np.sort((x[(x & _U(7)) < 3] >> _U(48)).astype(np.uint16))
+
+
+def _distinct_copies(low: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a set: each value with its number among its equals."""
+    head = np.r_[True, low[1:] != low[:-1]]
+    first = np.maximum.accumulate(np.where(head, np.arange(len(low)), 0)) if len(low) else np.zeros(0, np.int64)
+    return low.astype(np.int64) << 16 | (np.arange(len(low)) - first)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, percent: int) -> bool:
+    """False only where the sketches prove too many differences."""
+    both = len(np.intersect1d(_distinct_copies(a), _distinct_copies(b), assume_unique=True))
+    return (len(a) + len(b) - 2 * both) * (100 + percent) <= (size_a + size_b) * (100 - percent)
+
+
 def _runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (signature, node) of signatures with several nodes, in order, and where each signature begins."""
     order = np.lexsort((node, sig))
@@ -196,37 +232,47 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
             for _, _, data, offs in _text.slices(b.column("text")):
                 row, h, counts, node = sets_of(data, offs, size)
                 ends = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h[e - c : e].tobytes() for c, e in zip(counts, ends, strict=True)], pa.binary())], names=["node", "features"])
+                each = [h[e - c : e] for c, e in zip(counts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(counts), pa.array([sketch(x).tobytes() for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["node", "n", "low", "features"])
 
-    sets = docs.join(small(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(features, "node long, features binary").join(small(wanted.select("node")), "node", "left_semi")
-    sets = scratch.keep(sets.dropDuplicates(["node"]))
+    sets = docs.join(small(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(features, "node long, n long, low binary, features binary")
+    sets = scratch.keep(sets.join(small(wanted.select("node")), "node", "left_semi"))
     free_shuffles(spark)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that are similar."""
+    def compared(pairs: DataFrame, column: str, test) -> DataFrame:
+        """Of pairs (a, b), those whose sets' columns pass the test."""
+        pairs = scratch.keep(pairs)
+        few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
         # A class may be the smallest of very many: its set is salted, so that no task gets all of them.
         load = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / 64).cast("int").alias("salts"))
-        left = sets.select(F.col("node").alias("a"), F.col("features").alias("fa")).join(load, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        right = pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).select("a", "b", "salt").join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
+        left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(column).alias("fa")).join(few(load), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        salted = pairs.join(few(load), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).select("a", "b", "salt")
+        right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(column).alias("fb")).join(few(salted), "b")
 
-        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
-                ok = [similar(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(t.column("fa"), t.column("fb"), strict=True)]
+                ok = [test(x.as_buffer(), y.as_buffer(), m.as_py(), n.as_py()) for x, y, m, n in zip(t.column("fa"), t.column("fb"), t.column("na"), t.column("nb"), strict=True)]
                 yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return right.join(left.drop("salts"), ["a", "salt"]).select("a", "b", "fa", "fb").mapInArrow(test, "a long, b long")
+        return right.join(left.drop("salts"), ["a", "salt"]).select("a", "b", "na", "nb", "fa", "fb").mapInArrow(each, "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        low = compared(pairs, "low", lambda x, y, m, n: may_be_similar(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), m, n, percent))
+        return compared(low, "features", lambda x, y, m, n: similar(np.frombuffer(x, _U), np.frombuffer(y, _U), percent))
 
     # First, each class against the two smallest classes of buckets that it shares most often.
     stars = bucketed.filter("rep <> node").groupBy("rep", "node").count()
     best = stars.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "rep"))).filter("k <= 2")
-    links = scratch.keep(verified(scratch.keep(best.select(F.col("rep").alias("a"), F.col("node").alias("b")))))
+    best = scratch.keep(best.select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    links = scratch.keep(verified(best))
     joined = connected_components(links, scratch)
+    free_shuffles(spark)
 
     # Then what the buckets still hold in several components.
-    sizes = wanted.join(described.groupBy("node").agg(F.max("n").alias("n")), "node").select("node", "n")
-    named = bucketed.drop("rep").join(joined, "node", "left").join(sizes, "node").withColumn("component", F.coalesce("component", "node"))
+    named = bucketed.drop("rep").join(joined, "node", "left").join(sets.select("node", "n").distinct(), "node").withColumn("component", F.coalesce("component", "node"))
 
     def unsettled(table: pa.Table) -> pa.Table:
+        """Pairs that cross components, with how often they share a bucket and must; members of large buckets."""
         col = lambda c: table.column(c).to_numpy()
         order = np.lexsort((col("node"), col("component"), col("sig")))
         sig, node, comp, n = (col(c)[order] for c in ("sig", "node", "component", "n"))
@@ -236,77 +282,70 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
             if comp[s] == comp[e - 1]:
                 continue
             m = e - s
-            starts = np.flatnonzero(np.r_[True, comp[s + 1 : e] != comp[s : e - 1]])
-            sizes = np.diff(np.append(starts, m))
-            cross = (m * m - int((sizes * sizes).sum())) // 2
-            if cross > 4 * m:
+            sizes = np.diff(np.flatnonzero(np.r_[True, comp[s + 1 : e] != comp[s : e - 1], True]))
+            if m > PAIRED and (m * m - int((sizes * sizes).sum())) // 2 > PAIRED * m:
                 hot.append(np.arange(s, e))
                 continue
-            big = int(sizes.argmax())
-            lo, hi = starts[big], starts[big] + sizes[big]
-            rest = np.r_[np.arange(0, lo), np.arange(hi, m)]
-            i, j = np.meshgrid(rest, np.arange(lo, hi), indexing="ij")
-            p, q = np.triu_indices(len(rest), 1)
-            p, q = rest[p], rest[q]
-            ok = comp[s + p] != comp[s + q]
-            x, y = np.r_[i.ravel(), p[ok]] + s, np.r_[j.ravel(), q[ok]] + s
-            fits = np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y])
-            a.append(node[x[fits]])
-            b.append(node[y[fits]])
+            ends = np.cumsum(sizes)
+            for k in range(len(sizes) - 1):  # each component with all that stand behind it
+                i, j = np.meshgrid(np.arange(s + ends[k] - sizes[k], s + ends[k]), np.arange(s + ends[k], e), indexing="ij")
+                a.append(i.ravel())
+                b.append(j.ravel())
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        fits = np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b])
+        a, b = a[fits], b[fits]
+        must = bands.must(bands.of(np.maximum(n[a], n[b])), n[a], n[b])
+        a, b = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        order = np.lexsort((b, a))
+        a, b, must = a[order], b[order], must[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(a)))
         at = np.concatenate(hot) if hot else np.zeros(0, np.int64)
+        pad = np.zeros(len(at), np.int64)
         return pa.table({
-            "sig": np.r_[np.zeros(len(pairs), np.int64), sig[at]],
-            "a": np.r_[pairs[:, 0], node[at]],
-            "b": pa.array(np.r_[pairs[:, 1], np.zeros(len(at), np.int64)], mask=np.r_[np.zeros(len(pairs), bool), np.ones(len(at), bool)]),
+            "sig": np.r_[np.zeros(len(first), np.int64), sig[at]], "a": np.r_[a[first], node[at]], "b": pa.array(np.r_[b[first], pad], mask=np.r_[np.zeros(len(first), bool), pad == 0]),
+            "times": np.r_[times, pad], "must": np.r_[must[first], pad], "component": np.r_[np.zeros(len(first), np.int64), comp[at]],
         })
 
-    left = scratch.keep(named.groupBy("p").applyInArrow(unsettled, "sig long, a long, b long"))
-    crossing = left.filter("b is not null").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
-    crossing = scratch.keep(crossing.join(best.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")), ["a", "b"], "left_anti"))
-    members = left.filter("b is null").select("sig", F.col("a").alias("node"))
+    left = scratch.keep(named.groupBy("p").applyInArrow(unsettled, "sig long, a long, b long, times long, must long, component long"))
+    paired = left.filter("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("must").alias("must")).filter("times >= must").select("a", "b")
+    members = left.filter("b is null").select("sig", F.col("a").alias("node"), "component")
     blocks = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = members.join(blocks, "sig").withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).select("sig", "lo", "hi", "blk", "node").join(sets, "node")
+    members = members.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).select("sig", "lo", "hi", "blk", "node", "component").join(sets.select("node", "n", "low"), "node")
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
+        """Pairs of a block that cross components and that their sketches leave possible."""
         lo, hi = key[1].as_py(), key[2].as_py()
-        blk, node = table.column("blk").to_numpy(), table.column("node").to_numpy()
-        many = [np.frombuffer(x.as_buffer(), _U) for x in table.column("features").combine_chunks()]
-        n = np.array([len(x) for x in many])
-        _, f = np.unique(np.concatenate(many), return_inverse=True)
-        owner = np.repeat(np.arange(len(many)), n)
-        often = np.bincount(f)[f] > 1
-        f, owner = f[often], owner[often]
-        _, f = np.unique(f, return_inverse=True)
-        both = np.zeros((len(many), len(many)), np.int32)
+        blk, node, comp, n = (table.column(c).to_numpy() for c in ("blk", "node", "component", "n"))
+        many = [_distinct_copies(np.frombuffer(x.as_buffer(), np.uint16)) for x in table.column("low").combine_chunks()]
+        own = np.array([len(x) for x in many])
+        owner = np.repeat(np.arange(len(many)), own)
+        _, f, often = np.unique(np.concatenate(many), return_inverse=True, return_counts=True)
+        use = often[f] > 1
+        owner, f = owner[use], f[use]
         order = np.argsort(f, kind="stable")
-        f, owner = f[order], owner[order]
+        owner, f = owner[order], f[order]
+        both = np.zeros((len(many), len(many)), np.float32)
         step = 4096
-        for s in range(0, int(f.max()) + 1 if len(f) else 0, step):
+        for s in range(0, int(f[-1]) + 1 if len(f) else 0, step):
             i, j = np.searchsorted(f, [s, s + step])
             m = np.zeros((len(many), step), np.float32)
             m[owner[i:j], f[i:j] - s] = 1
-            both += (m @ m.T).astype(np.int32)
-        ok = 100 * both >= percent * (n[:, None] + n[None] - both)
+            both += m @ m.T
+        ok = (own[:, None] + own[None] - 2 * both) * (100 + percent) <= (n[:, None] + n[None]) * (100 - percent)
+        ok &= np.minimum(n[:, None], n[None]) * 100 >= percent * np.maximum(n[:, None], n[None])
+        ok &= comp[:, None] != comp[None]
         a, b = np.nonzero(np.triu(ok, 1))
         use = np.ones(len(a), bool) if lo == hi else blk[a] != blk[b]
-        a, b = a[use], b[use]
-        at = np.arange(len(many))
-        while True:  # smallest index reachable
-            new = at.copy()
-            np.minimum.at(new, a, at[b])
-            np.minimum.at(new, b, at[a])
-            new = np.minimum(new, new[new])
-            if (new == at).all():
-                break
-            at = new
-        moved = np.flatnonzero(at != np.arange(len(many)))
-        return pa.table({"a": node[at[moved]], "b": node[moved]})
+        a, b = node[a[use]], node[b[use]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    more = verified(crossing).unionByName(members.groupBy("sig", "lo", "hi").applyInArrow(settle, "a long, b long"))
-    links = scratch.keep(links.unionByName(more))
+    dense = members.groupBy("sig", "lo", "hi").applyInArrow(settle, "a long, b long")
+    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossing = paired.unionByName(dense).distinct().join(tested, ["a", "b"], "left_anti")
+    links = scratch.keep(links.unionByName(verified(crossing)))
+    free_shuffles(spark)
     final = connected_components(links, scratch)
     classes = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = classes.join(classes.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
