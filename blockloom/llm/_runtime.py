@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -65,11 +67,14 @@ class Scratch:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of finished jobs that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver drop the shuffle files of finished jobs that nothing refers to any more.
+
+    The cleaner works behind the collector, so one collection finds what the one before has let go.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def text_bytes(docs: DataFrame) -> int:
