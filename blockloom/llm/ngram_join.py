@@ -9,7 +9,7 @@ the feature domain is cut into n partitions by hash. Sets that are similar enoug
   long as one of them has no more than ``spare`` empty partitions; a set with more also gives one signature that says so.
 
 Identical sets are one class and cost no pairs. In each signature's bucket the classes are first compared with the
-bucket's smallest one. Buckets that this leaves in several components are then settled exactly: small ones by the pairs
+bucket's smallest one, then with their neighbours by size. Buckets that this leaves in several components are then settled exactly: small ones by the pairs
 that cross components, each counted over all buckets and kept only if it shares as many signatures as similar sets must;
 large ones in blocks of bounded size, without a row for a pair that can't be similar. A pair comes to its whole sets only
 if a sketch, 16 bits for each feature of three eighths of the domain, doesn't already prove more differences than
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -47,6 +48,9 @@ BLOCK = 512
 PAIRED = 64
 
 
+_DOC = np.dtype([("d", "<i8"), ("ok", "u1"), ("n", "<i8"), ("node", "<i8")])
+
+
 class Bands:
     """Size bands and their partition counts for a threshold of percent / 100, up to a largest size."""
 
@@ -188,21 +192,15 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, data, offs in _text.slices(b.column("text")):
-                _, _, counts, node = sets_of(data, offs, size)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(counts), pa.array(node)], names=["doc_id", "n", "node"])
-
-    described = scratch.keep(docs.mapInArrow(describe, "doc_id long, n long, node long"))
-    facts = described.agg(F.max("n"), F.sum("n")).first()
-    largest, total = facts[0] or 0, facts[1] or 0
-    bands = Bands(percent, largest)
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 10 // GROUP_BYTES))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bands = Bands(percent, 1 << 31)
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 13 // (10 * GROUP_BYTES)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed signatures for each group, and one packed row for the documents of a slice."""
         for b in batches:
-            for _, _, data, offs in _text.slices(b.column("text")):
+            ids = b.column("doc_id")
+            for lo, hi, data, offs in _text.slices(b.column("text")):
                 row, h, counts, node = sets_of(data, offs, size)
                 r, sig = signatures(row, h, counts, bands, percent)
                 p = ((_text.mix(sig) >> _U(32)) * _U(groups)) >> _U(32)
@@ -210,17 +208,32 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
                 p, sig, nodes = p[order], sig[order], node[r][order]
                 cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
                 ends = np.append(cut[1:], len(p))
-                yield pa.RecordBatch.from_arrays([pa.array(p[cut].astype(np.int32)), pa.array([sig[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()), pa.array([nodes[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())], names=["p", "sigs", "nodes"])
+                rec = np.zeros(hi - lo, _DOC)
+                part = ids.slice(lo, hi - lo)
+                rec["ok"], rec["d"], rec["n"], rec["node"] = part.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(part, 0).to_numpy(), counts, node
+                home = int(_text.mix(node[:1].view(_U))[0] % _U(groups))
+                blobs = lambda x, c=cut, e=ends: [x[i:j].tobytes() for i, j in zip(c, e, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([*p[cut].astype(np.int32), home], pa.int32()), pa.array([*blobs(sig), None], pa.binary()), pa.array([*blobs(nodes), rec.tobytes()], pa.binary())], names=["p", "sigs", "nodes"])
 
     def buckets(table: pa.Table) -> pa.Table:
+        known = pc.is_valid(table.column("sigs"))
+        rec = np.frombuffer(b"".join(table.filter(pc.invert(known)).column("nodes").to_pylist()), _DOC)
+        table = table.filter(known)
         sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.int64)
         node = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
         sig, node, head = _runs(sig, node)
-        p = table.column("p")[0].as_py()
-        return pa.table({"p": np.full(len(sig), p, np.int32), "sig": sig, "node": node, "rep": node[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sig) else node})
-
-    bucketed = scratch.keep(docs.mapInArrow(sign, "p int, sigs binary, nodes binary").groupBy("p").applyInArrow(buckets, "p int, sig long, node long, rep long"))
+        p = int((((_text.mix(sig[:1].view(_U)) >> _U(32)) * _U(groups)) >> _U(32))[0]) if len(sig) else 0
+        rep = node[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sig) else node
+        m, k = len(sig), len(rec)
+        mine, theirs = np.r_[np.zeros(m, bool), np.ones(k, bool)], np.r_[np.ones(m, bool), np.zeros(k, bool)]
+        pad = lambda a, b, mask: pa.array(np.r_[a, b].astype(np.int64), mask=mask)
+        zm, zk = np.zeros(m, np.int64), np.zeros(k, np.int64)
+        return pa.table({"p": np.full(m + k, p, np.int32), "sig": pad(sig, zk, mine), "node": np.r_[node, rec["node"]], "rep": pad(rep, zk, mine), "doc_id": pad(zm, rec["d"], theirs | (np.r_[zm, rec["ok"]] == 0)), "n": pad(zm, rec["n"], theirs)})
+
+    signed = scratch.keep(docs.mapInArrow(sign, "p int, sigs binary, nodes binary").groupBy("p").applyInArrow(buckets, "p int, sig long, node long, rep long, doc_id long, n long"))
     free_shuffles(spark)
+    bucketed = signed.filter("sig is not null").select("p", "sig", "node", "rep")
+    described = signed.filter("sig is null").select("doc_id", "n", "node")
 
     # The sets of the classes that share a bucket with another one, each from one of its documents.
     needed = bucketed.select("node").distinct()
@@ -268,8 +281,33 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
     joined = connected_components(links, scratch)
     free_shuffles(spark)
 
-    # Then what the buckets still hold in several components.
-    named = bucketed.drop("rep").join(joined, "node", "left").join(sets.select("node", "n").distinct(), "node").withColumn("component", F.coalesce("component", "node"))
+    sizes = sets.select("node", "n").distinct()
+
+    def in_components(joined: DataFrame) -> DataFrame:
+        named = bucketed.drop("rep").join(joined, "node", "left").join(sizes, "node")
+        return named.withColumn("component", F.coalesce("component", "node"))
+
+    # Then classes that stand side by side by size in a bucket and in different components.
+    def beside(table: pa.Table) -> pa.Table:
+        col = lambda c: table.column(c).to_numpy()
+        order = np.lexsort((col("node"), col("n"), col("sig")))
+        sig, node, comp, n = (col(c)[order] for c in ("sig", "node", "component", "n"))
+        near = (sig[1:] == sig[:-1]) & (comp[1:] != comp[:-1]) & (n[:-1] * 100 >= percent * n[1:])
+        a, b = np.minimum(node[:-1], node[1:])[near], np.maximum(node[:-1], node[1:])[near]
+        pairs, times = np.unique(np.stack([a, b], 1), axis=0, return_counts=True)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "times": times})
+
+    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = in_components(joined).groupBy("p").applyInArrow(beside, "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times")).join(tested, ["a", "b"], "left_anti")
+    rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("times"), "a", "b"))
+    near = scratch.keep(near.withColumns({"ka": rank("a"), "kb": rank("b")}).filter("ka <= 2 or kb <= 2").select("a", "b"))
+    links = scratch.keep(links.unionByName(verified(near)))
+    joined = connected_components(links, scratch)
+    tested = tested.unionByName(near)
+    free_shuffles(spark)
+
+    # At last what the buckets still hold in several components.
+    named = in_components(joined)
 
     def unsettled(table: pa.Table) -> pa.Table:
         """Pairs that cross components, with how often they share a bucket and must; members of large buckets."""
@@ -277,7 +315,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
         order = np.lexsort((col("node"), col("component"), col("sig")))
         sig, node, comp, n = (col(c)[order] for c in ("sig", "node", "component", "n"))
         head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        a, b, hot = [], [], []
+        a, b, hot, mains = [], [], [], []
         for s, e in zip(head, np.append(head[1:], len(sig)), strict=True):
             if comp[s] == comp[e - 1]:
                 continue
@@ -285,6 +323,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
             sizes = np.diff(np.flatnonzero(np.r_[True, comp[s + 1 : e] != comp[s : e - 1], True]))
             if m > PAIRED and (m * m - int((sizes * sizes).sum())) // 2 > PAIRED * m:
                 hot.append(np.arange(s, e))
+                mains.append(np.repeat(np.arange(len(sizes)) == sizes.argmax(), sizes))
                 continue
             ends = np.cumsum(sizes)
             for k in range(len(sizes) - 1):  # each component with all that stand behind it
@@ -304,20 +343,26 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
         pad = np.zeros(len(at), np.int64)
         return pa.table({
             "sig": np.r_[np.zeros(len(first), np.int64), sig[at]], "a": np.r_[a[first], node[at]], "b": pa.array(np.r_[b[first], pad], mask=np.r_[np.zeros(len(first), bool), pad == 0]),
-            "times": np.r_[times, pad], "must": np.r_[must[first], pad], "component": np.r_[np.zeros(len(first), np.int64), comp[at]],
+            "times": np.r_[times, pad], "must": np.r_[must[first], pad], "component": np.r_[np.zeros(len(first), np.int64), comp[at]], "main": np.r_[np.zeros(len(first), bool), np.concatenate(mains) if mains else np.zeros(0, bool)],
         })
 
-    left = scratch.keep(named.groupBy("p").applyInArrow(unsettled, "sig long, a long, b long, times long, must long, component long"))
+    left = scratch.keep(named.groupBy("p").applyInArrow(unsettled, "sig long, a long, b long, times long, must long, component long, main boolean"))
     paired = left.filter("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("must").alias("must")).filter("times >= must").select("a", "b")
-    members = left.filter("b is null").select("sig", F.col("a").alias("node"), "component")
-    blocks = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "sig").withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).select("sig", "lo", "hi", "blk", "node", "component").join(sets.select("node", "n", "low"), "node")
+    # In a large bucket the largest component is compared with the rest, and the rest among itself, in blocks of bounded size.
+    members = left.filter("b is null").select("sig", F.col("a").alias("node"), "component", "main")
+    counts = members.groupBy("sig").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.col("main").cast("int") if k == "m" else (~F.col("main")).cast("int")) / BLOCK)).cast("int").alias(k) for k in "mr"])
+    members = members.join(counts, "sig").withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("m")).otherwise(F.col("r"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("lo"), j.alias("hi"))
+    blk = F.col("blk")
+    across = F.when(F.col("main"), F.transform(upto("r"), lambda r: cell("m", blk, r))).otherwise(F.concat(F.transform(upto("m"), lambda m: cell("m", m, blk)), F.transform(upto("r"), lambda r: cell("r", F.least(blk, r), F.greatest(blk, r)))))
+    members = members.withColumn("cell", F.explode(across)).select("sig", "cell.*", "blk", "main", "node", "component").join(sets.select("node", "n", "low"), "node")
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         """Pairs of a block that cross components and that their sketches leave possible."""
-        lo, hi = key[1].as_py(), key[2].as_py()
+        kind, lo, hi = (k.as_py() for k in key[1:])
         blk, node, comp, n = (table.column(c).to_numpy() for c in ("blk", "node", "component", "n"))
+        side = table.column("main").to_numpy(zero_copy_only=False) if kind == "m" else blk
         many = [_distinct_copies(np.frombuffer(x.as_buffer(), np.uint16)) for x in table.column("low").combine_chunks()]
         own = np.array([len(x) for x in many])
         owner = np.repeat(np.arange(len(many)), own)
@@ -337,12 +382,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
         ok &= np.minimum(n[:, None], n[None]) * 100 >= percent * np.maximum(n[:, None], n[None])
         ok &= comp[:, None] != comp[None]
         a, b = np.nonzero(np.triu(ok, 1))
-        use = np.ones(len(a), bool) if lo == hi else blk[a] != blk[b]
+        use = np.ones(len(a), bool) if kind == "r" and lo == hi else side[a] != side[b]
         a, b = node[a[use]], node[b[use]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dense = members.groupBy("sig", "lo", "hi").applyInArrow(settle, "a long, b long")
-    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    dense = members.groupBy("sig", "kind", "lo", "hi").applyInArrow(settle, "a long, b long")
     crossing = paired.unionByName(dense).distinct().join(tested, ["a", "b"], "left_anti")
     links = scratch.keep(links.unionByName(verified(crossing)))
     free_shuffles(spark)
