@@ -200,7 +200,7 @@ def score_documents(docs: DataFrame, m: int = 7, remainder: int = 2) -> DataFram
         read = lambda t, c, k: np.concatenate([np.frombuffer(x.as_buffer(), k) for x in t.column(c)]) if t.num_rows else np.zeros(0, k)
         names, at = np.unique(read(made, "contexts", _U), return_inverse=True)
         if not asks.num_rows or not len(names):
-            return pa.table({"batch": pa.array([], pa.int32()), "row": pa.array([], pa.int32()), "weight": pa.array([], pa.float64())})
+            return pa.table({"batch": pa.array([], pa.int32()), "rows": pa.array([], pa.binary()), "weights": pa.array([], pa.binary())})
         lower, taken = np.bincount(at, read(made, "lower", np.float64), len(names)), np.bincount(at, read(made, "taken", np.float64), len(names))
         alpha = np.log10((1 - taken) / (1 - lower))
         want = read(asks, "contexts", _U)
@@ -209,9 +209,19 @@ def score_documents(docs: DataFrame, m: int = 7, remainder: int = 2) -> DataFram
         rows = [len(x.as_buffer()) // 4 for x in asks.column("rows")]
         key = np.repeat(asks.column("batch").to_numpy().astype(np.int64), rows) << 32 | read(asks, "rows", np.int32)
         who, at = np.unique(key, return_inverse=True)
-        return pa.table({"batch": (who >> 32).astype(np.int32), "row": (who & 0xFFFFFFFF).astype(np.int32), "weight": np.bincount(at, value, len(who))})
-
-    weights = seen.filter("p is not null").select("batch", "p", "contexts", "lower", "taken", "rows").groupBy("p").applyInArrow(weigh, "batch int, row int, weight double")
-    weights = weights.groupBy("batch", "row").agg(F.sum("weight").alias("weight"))
+        sums, of = np.bincount(at, value, len(who)), who >> 32
+        cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        ends = np.append(cut[1:], len(who))
+        return pa.table({"batch": of[cut].astype(np.int32), "rows": pa.array([(who[i:j] & 0xFFFFFFFF).astype(np.int32).tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()), "weights": pa.array([sums[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())})
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        """A batch's answers from all partitions, added up for each row."""
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table.column("rows")])
+        sums = np.bincount(rows, np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("weights")]))
+        has = np.unique(rows)
+        return pa.table({"batch": np.full(len(has), key[0].as_py(), np.int32), "row": has, "weight": sums[has]})
+
+    weights = seen.filter("p is not null").select("batch", "p", "contexts", "lower", "taken", "rows").groupBy("p").applyInArrow(weigh, "batch int, rows binary, weights binary")
+    weights = weights.groupBy("batch").applyInArrow(total, "batch int, row int, weight double")
     out = seen.filter("p is null").join(weights, ["batch", "row"], "left")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", (F.col("part") + F.coalesce("weight", F.lit(0.0))).alias("score"))
