@@ -1 +1,29 @@
-"""PySpark-native document structuring and chunking."""
+"""Whole plans: from texts or files to chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import chunking, documents, layout, profile, structure
+
+
+def chunk_texts(texts: DataFrame, options: chunking.ChunkOptions | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of plain texts: a paragraph for each line, then the fold."""
+    return chunking.chunk(chunking.paragraphs(texts, id_col, text_col), options=options)
+
+
+def layout_passes(raw: DataFrame, heights: DataFrame) -> DataFrame:
+    """Raw blocks of pages without furniture, with notes, title, imprint and contents pages marked."""
+    out = layout.mark_footnotes(layout.strip_furniture(raw, heights), heights)
+    return layout.mark_contents(layout.mark_imprint(layout.mark_title_page(out, heights)), heights)
+
+
+def pages_to_blocks(raw: DataFrame, heights: DataFrame, options: structure.StructureOptions | None = None, outline: DataFrame | None = None) -> DataFrame:
+    raw = layout_passes(raw, heights)
+    return structure.build_blocks(raw, options, outline, profile.style_profile(raw, heights))
+
+
+def blocks_to_chunks(blocks: DataFrame, options: chunking.ChunkOptions | None = None, meta: DataFrame | None = None) -> DataFrame:
+    docs = documents.assemble(blocks, meta=meta)
+    return chunking.chunk(blocks, docs.select("document_id", "title", F.col("language")), options)
