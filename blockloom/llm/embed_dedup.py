@@ -6,7 +6,7 @@ bucket is compared in blocks of bounded size, however many rows it holds, and em
 spanning forest.
 
 Rows: only equal, non-null labels are compared. Null, empty, zero and null-holding or non-finite vectors link with
-nothing, nor do vectors of different dimensions. Rows that repeat a vec_id count as vectors of their own with a
+nothing, nor do vectors of different dimensions, nor rows without an id. Rows that repeat a vec_id count as vectors of their own with a
 shared result row each. Extra columns don't matter; an empty table gives no rows.
 """
 
@@ -53,7 +53,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     """vec_id, n_links, component_id, kept for each row."""
     scratch = Scratch(vectors.sparkSession)
     kind = dtype_of(vectors, vec_col)
-    usable = scratch.keep(clean_vectors(vectors.filter(F.col(label_col).isNotNull()), id_col, vec_col, label_col))
+    usable = scratch.keep(clean_vectors(vectors.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()), id_col, vec_col, label_col))
     classes = scratch.keep(usable.groupBy("label", "vec").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(most, threshold)

@@ -22,6 +22,8 @@ from pyspark.sql import Window
 from ._runtime import Scratch
 
 LEAF = ("_domain", "_lang", "_source")
+#: Names of this operator; a column of such a name is replaced.
+_OWN = (*LEAF, "_tokens", "_copies", "_id", "_key", "_full", "_rest", "_buckets", "_range", "_edge", "_cut")
 #: Leaves up to this many are broadcast as a lookup; more are joined by shuffle.
 BROADCAST_LEAVES = 10_000
 #: Rows of one leaf summed up in one task.
@@ -102,6 +104,7 @@ def mix_sources(docs: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` with _domain, _lang, _source, _tokens and _copies: how many epochs of its leaf took the row (0: left out)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    docs = docs.drop(*_OWN)
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     named = docs.withColumns({"_domain": mix.domain(known("source")), "_lang": known("lang"), "_source": known("source"), "_tokens": n_tokens(F.col("text"))})
     slim = scratch.keep(named.select(*LEAF, F.col("doc_id").alias("_id"), "_tokens"))

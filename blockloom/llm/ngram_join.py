@@ -11,9 +11,10 @@ the feature domain is cut into n partitions by hash. Sets that are similar enoug
 Identical sets are one class and cost no pairs. In each signature's bucket the classes are first compared with the
 bucket's smallest one, then with their neighbours by size. Buckets that this leaves in several components are then settled exactly: small ones by the pairs
 that cross components, each counted over all buckets and kept only if it shares as many signatures as similar sets must;
-large ones in blocks of bounded size, without a row for a pair that can't be similar. A pair comes to its whole sets only
-if a sketch, 16 bits for each feature of three eighths of the domain, doesn't already prove more differences than
-similar sets may have. Every link is verified on the whole sets.
+large ones by comparing the bucket's largest component with the classes outside of it, and those among themselves: once
+for all buckets with that component, by size band, in blocks of bounded size and without a row for a pair that can't be
+similar. A pair comes to its whole sets only if a sketch, 16 bits for each feature, doesn't already prove more
+differences than similar sets may have. Every link is verified on the whole sets.
 
 Rows: null, empty and blank texts have the empty set and link with nothing; fewer words than a shingle are one feature. Rows
 that repeat a doc_id are documents of their own with the same component. Sets are compared by 64-bit hashes of their
@@ -44,7 +45,7 @@ GROUP_BYTES = 12 << 20
 BROADCAST_ROWS = 500_000
 #: Sets of one side of a comparison block.
 BLOCK = 512
-#: Buckets up to this many classes (or with so few crossing pairs for each) are settled by pairs, larger ones in blocks.
+#: Buckets up to this many classes are settled by pairs, larger ones in blocks.
 PAIRED = 64
 
 
@@ -154,9 +155,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """16 bits of each feature of three eighths of the domain, sorted."""
-    x = _text.mix(h ^ _U(0x6A09E667F3BCC909))
-    return np.sort((x[(x & _U(7)) < 3] >> _U(48)).astype(np.uint16))
+    """16 bits of each feature, sorted."""
+    return np.sort((_text.mix(h ^ _U(0x6A09E667F3BCC909)) >> _U(48)).astype(np.uint16))
 
 
 def _distinct_copies(low: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
                 order = np.argsort(p, kind="stable")
                 p, sig, nodes = p[order], sig[order], node[r][order]
                 cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
-                ends = np.append(cut[1:], len(p))
+                ends = np.append(cut[1:], len(p))[: len(cut)]
                 rec = np.zeros(hi - lo, _DOC)
                 part = ids.slice(lo, hi - lo)
                 rec["ok"], rec["d"], rec["n"], rec["node"] = part.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(part, 0).to_numpy(), counts, node
@@ -321,9 +321,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
                 continue
             m = e - s
             sizes = np.diff(np.flatnonzero(np.r_[True, comp[s + 1 : e] != comp[s : e - 1], True]))
-            if m > PAIRED and (m * m - int((sizes * sizes).sum())) // 2 > PAIRED * m:
-                hot.append(np.arange(s, e))
-                mains.append(np.repeat(np.arange(len(sizes)) == sizes.argmax(), sizes))
+            if m > PAIRED:
+                big = int(sizes.argmax())
+                start = s + int(sizes[:big].sum())
+                rest = np.r_[s:start, start + sizes[big] : e]
+                hot.append(rest)
+                mains.append(np.full(len(rest), comp[start]))
                 continue
             ends = np.cumsum(sizes)
             for k in range(len(sizes) - 1):  # each component with all that stand behind it
@@ -339,30 +342,50 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
         a, b, must = a[order], b[order], must[order]
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(a)))
-        at = np.concatenate(hot) if hot else np.zeros(0, np.int64)
-        pad = np.zeros(len(at), np.int64)
+        rest, main = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (hot, mains))
+        outside = np.unique(np.stack([node[rest], main], 1), axis=0) if len(rest) else np.zeros((0, 2), np.int64)
+        k, m = len(first), len(outside)
+        pad = np.zeros(m, np.int64)
         return pa.table({
-            "sig": np.r_[np.zeros(len(first), np.int64), sig[at]], "a": np.r_[a[first], node[at]], "b": pa.array(np.r_[b[first], pad], mask=np.r_[np.zeros(len(first), bool), pad == 0]),
-            "times": np.r_[times, pad], "must": np.r_[must[first], pad], "component": np.r_[np.zeros(len(first), np.int64), comp[at]], "main": np.r_[np.zeros(len(first), bool), np.concatenate(mains) if mains else np.zeros(0, bool)],
+            "a": np.r_[a[first], outside[:, 0]], "b": pa.array(np.r_[b[first], pad], mask=np.arange(k + m) >= k), "times": np.r_[times, pad], "must": np.r_[must[first], pad],
+            "main": pa.array(np.r_[np.zeros(k, np.int64), outside[:, 1]], mask=np.arange(k + m) < k),
         })
 
-    left = scratch.keep(named.groupBy("p").applyInArrow(unsettled, "sig long, a long, b long, times long, must long, component long, main boolean"))
+    left = scratch.keep(named.groupBy("p").applyInArrow(unsettled, "a long, b long, times long, must long, main long"))
     paired = left.filter("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("must").alias("must")).filter("times >= must").select("a", "b")
-    # In a large bucket the largest component is compared with the rest, and the rest among itself, in blocks of bounded size.
-    members = left.filter("b is null").select("sig", F.col("a").alias("node"), "component", "main")
-    counts = members.groupBy("sig").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.col("main").cast("int") if k == "m" else (~F.col("main")).cast("int")) / BLOCK)).cast("int").alias(k) for k in "mr"])
-    members = members.join(counts, "sig").withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("m")).otherwise(F.col("r"))).cast("int"))
+    # What large buckets hold outside of their largest component, against it and among itself.
+    outside = left.filter("b is null").select(F.col("a").alias("node"), "main").distinct()
+    whole = sizes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    inside = whole.join(outside.select(F.col("main").alias("component")).distinct(), "component", "left_semi").withColumn("main", F.col("component"))
+    outside = outside.join(whole, "node")
+    limits = [int(x) for x in bands.lo if x <= 1 << 40]
+
+    def banded(rows: DataFrame) -> DataFrame:
+        """Each set in its size band and, where it may match it, in the next one."""
+        own = F.size(F.filter(F.array(*map(F.lit, limits)), lambda lo: lo <= F.col("n"))) - 1
+        rows = rows.withColumn("own", own)
+        up = F.element_at(F.array(*map(F.lit, [*limits, 1 << 62])), F.col("own") + 2)
+        return rows.withColumn("band", F.explode(F.when(F.floor(F.col("n") * 100 / percent) >= up, F.array("own", F.col("own") + 1)).otherwise(F.array("own")))).drop("own")
+
+    outside, inside = banded(outside.select("main", "node", "n", "component")), banded(inside.select("main", "node", "n", "component"))
+    inside = inside.join(outside.select("main", "band").distinct(), ["main", "band"], "left_semi")
+    members = scratch.keep(outside.withColumn("inside", F.lit(False)).unionByName(inside.withColumn("inside", F.lit(True))))
+    side = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c.cast("int")) / BLOCK)).cast("int")
+    counts = members.groupBy("main", "band").agg(side(F.col("inside")).alias("m"), side(~F.col("inside")).alias("r"))
+    members = members.join(counts, ["main", "band"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("m")).otherwise(F.col("r"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("lo"), j.alias("hi"))
     blk = F.col("blk")
-    across = F.when(F.col("main"), F.transform(upto("r"), lambda r: cell("m", blk, r))).otherwise(F.concat(F.transform(upto("m"), lambda m: cell("m", m, blk)), F.transform(upto("r"), lambda r: cell("r", F.least(blk, r), F.greatest(blk, r)))))
-    members = members.withColumn("cell", F.explode(across)).select("sig", "cell.*", "blk", "main", "node", "component").join(sets.select("node", "n", "low"), "node")
+    across = F.when(F.col("inside"), F.transform(upto("r"), lambda r: cell("m", blk, r))).otherwise(F.concat(F.transform(upto("m"), lambda m: cell("m", m, blk)), F.transform(upto("r"), lambda r: cell("r", F.least(blk, r), F.greatest(blk, r)))))
+    members = members.withColumn("cell", F.explode(across)).select("main", "band", "cell.*", "blk", "inside", "node", "component").join(sets.select("node", "n", "low"), "node")
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         """Pairs of a block that cross components and that their sketches leave possible."""
-        kind, lo, hi = (k.as_py() for k in key[1:])
+        if table.num_rows < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        kind, lo, hi = (k.as_py() for k in key[2:])
         blk, node, comp, n = (table.column(c).to_numpy() for c in ("blk", "node", "component", "n"))
-        side = table.column("main").to_numpy(zero_copy_only=False) if kind == "m" else blk
+        side = table.column("inside").to_numpy(zero_copy_only=False) if kind == "m" else blk
         many = [_distinct_copies(np.frombuffer(x.as_buffer(), np.uint16)) for x in table.column("low").combine_chunks()]
         own = np.array([len(x) for x in many])
         owner = np.repeat(np.arange(len(many)), own)
@@ -386,7 +409,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
         a, b = node[a[use]], node[b[use]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dense = members.groupBy("sig", "kind", "lo", "hi").applyInArrow(settle, "a long, b long")
+    dense = members.groupBy("main", "band", "kind", "lo", "hi").applyInArrow(settle, "a long, b long")
     crossing = paired.unionByName(dense).distinct().join(tested, ["a", "b"], "left_anti")
     links = scratch.keep(links.unionByName(verified(crossing)))
     free_shuffles(spark)

@@ -5,7 +5,7 @@ new bin whose length costs least per token that the pieces still waiting can put
 cut down to the shortest permitted length that holds its contents. A text longer than the longest length is
 split into pieces; its last piece is packed like any other.
 
-Rows: null, empty and blank texts have no tokens: one row with n_tokens 0 and no bin. Repeated rows are packed
+Rows: a null doc_id is packed like any other. Null, empty and blank texts have no tokens: one row with n_tokens 0 and no bin. Repeated rows are packed
 once each; ties go to the smaller doc_id. An empty table gives no rows. Extra columns don't matter.
 """
 
@@ -90,9 +90,10 @@ def pack_documents(docs: DataFrame, permitted: Sequence[int] = LENGTHS, bin_cost
     """doc_id, piece, n_tokens, bin_id, bin_length, bin_offset of each piece."""
     scratch = Scratch(docs.sparkSession)
     longest = max(permitted)
-    counted = docs.select("doc_id", n_tokens(F.col("text")).alias("tokens"))
-    pieces = counted.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / longest).cast("int") - 1))).alias("piece"))
-    pieces = scratch.keep(pieces.select("doc_id", "piece", F.least(F.lit(longest), F.col("tokens") - F.col("piece").cast("long") * longest).cast("int").alias("n_tokens")))
+    # a null id travels as the smallest number with a mark, as pandas knows no null among whole numbers
+    counted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), n_tokens(F.col("text")).alias("tokens"))
+    pieces = counted.select("doc_id", "no_id", "tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / longest).cast("int") - 1))).alias("piece"))
+    pieces = scratch.keep(pieces.select("doc_id", "no_id", "piece", F.least(F.lit(longest), F.col("tokens") - F.col("piece").cast("long") * longest).cast("int").alias("n_tokens")))
     shards = 1 + pieces.count() // SHARD_PIECES
     lengths, cost = tuple(permitted), bin_cost
 
@@ -104,9 +105,9 @@ def pack_documents(docs: DataFrame, permitted: Sequence[int] = LENGTHS, bin_cost
         pdf["bin_offset"] = [o for _, o in place]
         return pdf.drop(columns="shard")
 
-    schema = "doc_id long, piece int, n_tokens int, bin_id string, bin_length int, bin_offset int"
+    schema = "doc_id long, no_id boolean, piece int, n_tokens int, bin_id string, bin_length int, bin_offset int"
     dealt = pieces.filter("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece"), F.lit(shards)))
     packed = dealt.groupBy("shard").applyInPandas(shard, schema)
-    none = pieces.filter("n_tokens = 0").select("doc_id", "piece", "n_tokens", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("bin_length"), F.lit(None).cast("int").alias("bin_offset"))
-    return packed.unionByName(none)
+    none = pieces.filter("n_tokens = 0").select("doc_id", "no_id", "piece", "n_tokens", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("bin_length"), F.lit(None).cast("int").alias("bin_offset"))
+    return packed.unionByName(none).withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 

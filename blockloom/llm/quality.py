@@ -158,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, seed: in
 def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """``docs`` (doc_id, text and any others) with score."""
     prepare(docs.sparkSession)
+    docs = docs.drop("score")  # a column of this name is replaced
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

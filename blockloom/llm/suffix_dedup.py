@@ -172,7 +172,7 @@ def _packed(p: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(p, kind="stable")
     p, records = p[order], records[order]
     cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(p))
+    ends = np.append(cut[1:], len(p))[: len(cut)]
     return pa.RecordBatch.from_arrays([pa.array(p[cut].astype(np.int32)), pa.array([records[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())], names=["p", "records"])
 
 
@@ -331,6 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """``docs`` with _kept (the remaining bytes; as_text: the text of those that still make characters), _n_bytes, _n_removed and _n_spans."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    docs = docs.drop("_doc", "_ranges", "_kept", "_n_bytes", "_n_removed", "_n_spans")  # columns of these names are replaced
     keyed = _keyed(docs, scratch)
     ranges = repeated_ranges(keyed.select(F.col("_doc").alias("doc"), "text"), scratch, length, gram, hot)
     ranges = ranges.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))

@@ -26,6 +26,7 @@ BROADCAST_IDS = 500_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # at most quality.FIT_DOCS labelled documents are fitted on; every document is scored
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).filter("score >= 0.5").select(*docs.columns)
 
