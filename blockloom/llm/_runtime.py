@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the length of the texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
