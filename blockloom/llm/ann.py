@@ -168,7 +168,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
 
     top = usable.select("vec").mapInPandas(norm2, "n2 double").agg(F.max("n2")).first()[0]
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["vec", "vec_id"], kind="stable", ignore_index=True)
         first = (pdf["vec"] != pdf["vec"].shift()).to_numpy()
         raw = np.frombuffer(b"".join(pdf["vec"][first]), kind).reshape(int(first.sum()), -1)
@@ -185,7 +185,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)))
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [key[0]], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [b"".join(pdf["vec"])]})
 
     packed = scratch.keep(asked.groupBy("block").applyInPandas(pack, "block long, qids binary, q binary"))

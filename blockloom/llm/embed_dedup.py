@@ -84,7 +84,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).drop("blocks", "other")
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t, lo, hi = key[2], key[-2], key[-1]
         none = pd.DataFrame({"cid": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if len(pdf) < 2:

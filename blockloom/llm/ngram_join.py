@@ -40,12 +40,12 @@ from .components import connected_components
 
 _U = np.uint64
 #: Bytes of signatures of one bucket group, read by one task.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 #: Classes up to this many are looked up by broadcast (16 bytes each); more by shuffle.
 BROADCAST_ROWS = 500_000
 #: Sets of one side of a comparison block.
 BLOCK = 512
-#: Buckets up to this many classes are settled by pairs, larger ones in blocks.
+#: Buckets up to this many classes (up to eight times as many, where few pairs cross) are settled by pairs, others in blocks.
 PAIRED = 8
 
 
@@ -301,7 +301,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     near = in_components(joined, bucketed.filter("sig % 4 = 0")).groupBy("p").applyInArrow(beside, "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times")).join(tested, ["a", "b"], "left_anti")
     rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("times"), "a", "b"))
-    near = scratch.keep(near.withColumns({"ka": rank("a"), "kb": rank("b")}).filter("ka <= 2 or kb <= 2").select("a", "b"))
+    near = scratch.keep(near.withColumns({"ka": rank("a"), "kb": rank("b")}).filter("ka = 1 or kb = 1").select("a", "b"))
     links = scratch.keep(links.unionByName(verified(near)))
     joined = connected_components(links, scratch)
     tested = tested.unionByName(near)
@@ -322,7 +322,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
                 continue
             m = e - s
             sizes = np.diff(np.flatnonzero(np.r_[True, comp[s + 1 : e] != comp[s : e - 1], True]))
-            if m > PAIRED:
+            cross = (m * m - int((sizes * sizes).sum())) // 2
+            if m > PAIRED and (m > 8 * PAIRED or cross > PAIRED * m):
                 big = int(sizes.argmax())
                 start = s + int(sizes[:big].sum())
                 rest = np.r_[s:start, start + sizes[big] : e]

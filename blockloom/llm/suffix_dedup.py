@@ -38,11 +38,11 @@ GRAM = 32
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Bytes of segments that are sorted together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Variants of a bucket beyond which it is refined by window before sorting.
 HOT = 2000
 #: Bytes of anchors or segments of one group, read by one task.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 
 _ANCHOR = np.dtype([("a", "<i8"), ("s", "<i8"), ("d", "<i8"), ("o", "<u4"), ("l", "<u2"), ("r", "<u2")])
 _WINDOW = np.dtype([("x", "<i8"), ("y", "<i8"), ("d", "<i8"), ("o", "<u4")])
