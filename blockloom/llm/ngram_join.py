@@ -45,8 +45,8 @@ GROUP_BYTES = 8 << 20
 BROADCAST_ROWS = 500_000
 #: Sets of one side of a comparison block.
 BLOCK = 512
-#: Buckets up to this many classes (up to eight times as many, where few pairs cross) are settled by pairs, others in blocks.
-PAIRED = 8
+#: Buckets up to this many classes are settled by pairs, larger ones in blocks.
+PAIRED = 2
 
 
 _DOC = np.dtype([("d", "<i8"), ("ok", "u1"), ("n", "<i8"), ("node", "<i8")])
@@ -322,8 +322,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
                 continue
             m = e - s
             sizes = np.diff(np.flatnonzero(np.r_[True, comp[s + 1 : e] != comp[s : e - 1], True]))
-            cross = (m * m - int((sizes * sizes).sum())) // 2
-            if m > PAIRED and (m > 8 * PAIRED or cross > PAIRED * m):
+            if m > PAIRED:
                 big = int(sizes.argmax())
                 start = s + int(sizes[:big].sum())
                 rest = np.r_[s:start, start + sizes[big] : e]
@@ -381,8 +380,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
     across = F.when(F.col("inside"), F.transform(upto("r"), lambda r: cell("m", blk, r))).otherwise(F.concat(F.transform(upto("m"), lambda m: cell("m", m, blk)), F.transform(upto("r"), lambda r: cell("r", F.least(blk, r), F.greatest(blk, r)))))
     members = members.withColumn("cell", F.explode(across)).select("main", "band", "cell.*", "blk", "inside", "node", "component").join(sets.select("node", "n", "low"), "node")
 
-    def settle(key: tuple, table: pa.Table) -> pa.Table:
-        """Pairs of a block that cross components and that their sketches leave possible."""
+    def settle(key: tuple, table: pa.Table, one: bool) -> pa.Table:
+        """Pairs of a block that cross components and that their sketches leave possible; ``one``: the nearest of each two components."""
         if table.num_rows < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         kind, lo, hi = (k.as_py() for k in key[2:])
@@ -408,12 +407,24 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
         ok &= comp[:, None] != comp[None]
         a, b = np.nonzero(np.triu(ok, 1))
         use = np.ones(len(a), bool) if kind == "r" and lo == hi else side[a] != side[b]
-        a, b = node[a[use]], node[b[use]]
+        a, b = a[use], b[use]
+        if one and len(a):
+            x, y = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+            order = np.lexsort((node[b], node[a], own[a] + own[b] - 2 * both[a, b], y, x))
+            first = np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])]
+            a, b = a[order][first], b[order][first]
+        a, b = node[a], node[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dense = members.groupBy("main", "band", "kind", "lo", "hi").applyInArrow(settle, "a long, b long")
-    crossing = paired.unionByName(dense).distinct().join(tested, ["a", "b"], "left_anti")
-    links = scratch.keep(links.unionByName(verified(crossing)))
+    # Two components need one link. Should the nearest pair of some two turn out too different on the whole sets, all are tried.
+    cells = members.groupBy("main", "band", "kind", "lo", "hi")
+    dense = scratch.keep(cells.applyInArrow(lambda key, table: settle(key, table, True), "a long, b long").distinct())
+    true = scratch.keep(verified(dense))
+    if true.count() < dense.count():
+        dense = cells.applyInArrow(lambda key, table: settle(key, table, False), "a long, b long").distinct()
+        true = true.unionByName(verified(dense.join(true, ["a", "b"], "left_anti")))
+    crossing = paired.join(tested, ["a", "b"], "left_anti")
+    links = scratch.keep(links.unionByName(true).unionByName(verified(crossing)))
     free_shuffles(spark)
     final = connected_components(links, scratch)
     classes = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
