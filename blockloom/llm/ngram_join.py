@@ -250,6 +250,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
 
     sets = docs.join(small(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(features, "node long, n long, low binary, features binary")
     sets = scratch.keep(sets.join(small(wanted.select("node")), "node", "left_semi"))
+    if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # rows that repeat a doc_id and its text
+        sets = scratch.keep(sets.dropDuplicates(["node"]))
     free_shuffles(spark)
 
     def compared(pairs: DataFrame, column: str, test) -> DataFrame:
@@ -281,7 +283,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
     joined = connected_components(links, scratch)
     free_shuffles(spark)
 
-    sizes = sets.select("node", "n").distinct()
+    sizes = sets.select("node", "n")
 
     def in_components(joined: DataFrame, rows: DataFrame = bucketed) -> DataFrame:
         named = rows.drop("rep").join(joined, "node", "left").join(sizes, "node")
@@ -420,7 +422,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
     cells = members.groupBy("main", "band", "kind", "lo", "hi")
     dense = scratch.keep(cells.applyInArrow(lambda key, table: settle(key, table, True), "a long, b long").distinct())
     true = scratch.keep(verified(dense))
-    if true.count() < dense.count():
+    if not dense.join(true, ["a", "b"], "left_anti").isEmpty():
         dense = cells.applyInArrow(lambda key, table: settle(key, table, False), "a long, b long").distinct()
         true = true.unionByName(verified(dense.join(true, ["a", "b"], "left_anti")))
     crossing = paired.join(tested, ["a", "b"], "left_anti")

@@ -67,6 +67,27 @@ def test_families_at_the_edge(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == components(rows)
 
 
+def drifting(families=30, steps=12, words=100):
+    """Chains of texts of one size; each differs from the one before in a word, and only near ones are similar."""
+    rows = []
+    for f in range(families):
+        text = [f"f{f}w{i}" for i in range(words)]
+        for k in range(steps):
+            rows.append((f * steps + k, " ".join(text)))
+            text[7 + k * 7] = f"f{f}s{k}"
+    return rows
+
+
+def test_repeated_rows_hide_no_link(spark, monkeypatch):
+    """A sketch that tells nothing apart makes the nearest pair of two components a wrong one."""
+    monkeypatch.setattr(ngram_join, "PAIRED", 1)
+    monkeypatch.setattr(ngram_join, "sketch", lambda h: np.zeros(len(h), np.uint16))
+    rows = drifting()
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string")
+    got = ngram_join.jaccard_components(df).collect()
+    assert len(got) == 3 * len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
+
+
 def test_signatures_are_shared_by_similar_sets():
     """The pigeonhole itself: random pairs at the threshold share a signature, whatever their sizes."""
     rng = np.random.default_rng(3)
