@@ -16,6 +16,9 @@ for all buckets with that component, by size band, in blocks of bounded size and
 similar. A pair comes to its whole sets only if a sketch, 16 bits for each feature, doesn't already prove more
 differences than similar sets may have. Every link is verified on the whole sets.
 
+Similar texts always share a component, so the number of links comes from comparing the classes of each component with
+one another on their whole sets, by size band, in blocks of bounded size that give a row for a class, not for a pair.
+
 Rows: null, empty and blank texts have the empty set and link with nothing; fewer words than a shingle are one feature. Rows
 that repeat a doc_id are documents of their own with the same component. Sets are compared by 64-bit hashes of their
 shingles. Extra columns don't matter; an empty table gives no rows.
@@ -45,6 +48,8 @@ GROUP_BYTES = 8 << 20
 BROADCAST_ROWS = 500_000
 #: Sets of one side of a comparison block.
 BLOCK = 512
+#: Classes, and bytes of their sets, of one side of a block in which links are counted.
+LINK_BLOCK, LINK_BYTES = 1024, 4 << 20
 #: Buckets up to this many classes are settled by pairs, larger ones in blocks.
 PAIRED = 2
 
@@ -172,6 +177,24 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, perce
     return (len(a) + len(b) - 2 * both) * (100 + percent) <= (size_a + size_b) * (100 - percent)
 
 
+def shared(many: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many features each two sets have in common."""
+    owner = np.repeat(np.arange(len(many)), [len(x) for x in many])
+    _, f, often = np.unique(np.concatenate(many), return_inverse=True, return_counts=True)
+    names = np.cumsum(often > 1) - 1
+    use = often[f] > 1
+    owner, f = owner[use], names[f[use]]
+    order = np.argsort(f, kind="stable")
+    owner, f = owner[order], f[order]
+    both = np.zeros((len(many), len(many)), np.float32)
+    for s in range(0, int(f[-1]) + 1 if len(f) else 0, step):
+        i, j = np.searchsorted(f, [s, s + step])
+        m = np.zeros((len(many), min(step, int(f[-1]) + 1 - s)), np.float32)
+        m[owner[i:j], f[i:j] - s] = 1
+        both += m @ m.T
+    return both
+
+
 def _runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (signature, node) of signatures with several nodes, in order, and where each signature begins."""
     order = np.lexsort((node, sig))
@@ -186,8 +209,9 @@ def _runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[keep], node[keep], head[keep]
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
+def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text); with ``links`` also n_links, the rows it is similar to."""
+    count_links = links
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -368,7 +392,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
         own = F.size(F.filter(F.array(*map(F.lit, limits)), lambda lo: lo <= F.col("n"))) - 1
         rows = rows.withColumn("own", own)
         up = F.element_at(F.array(*map(F.lit, [*limits, 1 << 62])), F.col("own") + 2)
-        return rows.withColumn("band", F.explode(F.when(F.floor(F.col("n") * 100 / percent) >= up, F.array("own", F.col("own") + 1)).otherwise(F.array("own")))).drop("own")
+        return rows.withColumn("band", F.explode(F.when(F.floor(F.col("n") * 100 / percent) >= up, F.array("own", F.col("own") + 1)).otherwise(F.array("own")))).withColumn("home", F.col("band") == F.col("own")).drop("own")
 
     outside, inside = banded(outside.select("main", "node", "n", "component")), banded(inside.select("main", "node", "n", "component"))
     inside = inside.join(outside.select("main", "band").distinct(), ["main", "band"], "left_semi")
@@ -391,19 +415,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
         side = table.column("inside").to_numpy(zero_copy_only=False) if kind == "m" else blk
         many = [_distinct_copies(np.frombuffer(x.as_buffer(), np.uint16)) for x in table.column("low").combine_chunks()]
         own = np.array([len(x) for x in many])
-        owner = np.repeat(np.arange(len(many)), own)
-        _, f, often = np.unique(np.concatenate(many), return_inverse=True, return_counts=True)
-        use = often[f] > 1
-        owner, f = owner[use], f[use]
-        order = np.argsort(f, kind="stable")
-        owner, f = owner[order], f[order]
-        both = np.zeros((len(many), len(many)), np.float32)
-        step = 4096
-        for s in range(0, int(f[-1]) + 1 if len(f) else 0, step):
-            i, j = np.searchsorted(f, [s, s + step])
-            m = np.zeros((len(many), step), np.float32)
-            m[owner[i:j], f[i:j] - s] = 1
-            both += m @ m.T
+        both = shared(many)
         ok = (own[:, None] + own[None] - 2 * both) * (100 + percent) <= (n[:, None] + n[None]) * (100 - percent)
         ok &= np.minimum(n[:, None], n[None]) * 100 >= percent * np.maximum(n[:, None], n[None])
         ok &= comp[:, None] != comp[None]
@@ -431,5 +443,39 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
     final = connected_components(links, scratch)
     classes = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = classes.join(classes.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
-    out = described.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    alone = described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if not count_links:
+        return described.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+
+    # The links of each class to the others of its component; two sets meet in the band of the larger one.
+    copies = described.filter("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    members = scratch.keep(banded(sizes.join(final, "node")).join(copies, "node"))
+    groups_of = ["component", "band"]
+    many = members.groupBy(*groups_of).agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("any"), F.greatest(F.ceil(F.count(F.lit(1)) / LINK_BLOCK), F.ceil(F.sum("n") * 8 / LINK_BYTES)).cast("int").alias("blocks"))
+    many = scratch.keep(many.filter("m > 1 and any").select(*groups_of, "blocks"))
+    members = members.join((F.broadcast if many.count() <= BROADCAST_ROWS else lambda df: df)(many), groups_of)
+    members = members.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(upto("blocks")))
+    members = members.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).drop("other", "blocks")
+    members = members.join(sets.select("node", "features"), "node")
+
+    def linked(key: tuple, table: pa.Table) -> pa.Table:
+        """Links of each class of a block to the others, by their copies."""
+        within = key[2].as_py() == key[3].as_py()
+        node, n, copies, blk = (table.column(c).to_numpy() for c in ("node", "n", "copies", "blk"))
+        home = table.column("home").to_numpy(zero_copy_only=False)
+        both = shared([np.frombuffer(x.as_buffer(), _U) for x in table.column("features").combine_chunks()])
+        found = np.zeros(len(node), np.int64)
+        for s in range(0, len(node), 256):
+            here = slice(s, s + 256)
+            k = both[here].astype(np.int64)
+            ok = (100 * k >= percent * (n[here, None] + n[None] - k)) & (home[here, None] | home[None])
+            ok &= (node[here, None] != node[None]) if within else (blk[here, None] != blk[None])
+            found[here] = (ok * copies).sum(1)
+        hit = np.flatnonzero(found)
+        return pa.table({"node": node[hit], "links": found[hit]})
+
+    counted = members.groupBy(*groups_of, "lo", "hi").applyInArrow(linked, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    number = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    named = scratch.keep(named.join(copies, "node").join(counted, "node", "left").select("node", "component_id", number))
+    out = described.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "n_links", "component_id")
+    return out.unionByName(alone.withColumn("n_links", F.lit(0).cast("long")))

@@ -19,7 +19,8 @@ def op1_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
+    # The whole join is made, links included; its SQL has these columns only.
+    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,19 @@ def test_repeated_rows_hide_no_link(spark, monkeypatch):
     assert len(got) == 3 * len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_numbers_of_links(spark, monkeypatch, block):
+    """All links of each row, also those within a group that fewer would hold together; copies and repeated rows count."""
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)  # 2: several blocks a group
+    rows = [*drifting(6), *[(1000 + i, t) for i, t in corpus()]]
+    rows += [rows[3], rows[3], (2000, rows[5][1]), (None, rows[5][1]), (None, "")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    similar = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = [(i or -1, len(a), sum(similar(a, b) for _, b in sets) - bool(a)) for i, a in sets]
+    assert sorted((r.doc_id or -1, r.n_shingles, r.n_links) for r in got) == sorted(want)
+
+
 def test_signatures_are_shared_by_similar_sets():
     """The pigeonhole itself: random pairs at the threshold share a signature, whatever their sizes."""
     rng = np.random.default_rng(3)
