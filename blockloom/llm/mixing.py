@@ -38,7 +38,11 @@ def default_domain(source: Column) -> Column:
 
 @dataclass
 class Mix:
-    """weights: by path, ("web",), ("web", "en") or ("web", "en", "src1"); a node without one weighs its tokens."""
+    """weights: by path, ("web",), ("web", "en") or ("web", "en", "src1").
+
+    Nodes without one share by their tokens what the weights of their siblings leave of 1. Where that is nothing, they keep
+    their natural share of the parent and the weights divide the rest.
+    """
 
     weights: Mapping[tuple[str, ...], float] = field(default_factory=dict)
     budget: float | None = None
@@ -68,10 +72,13 @@ def solve(supply: Mapping[tuple[str, ...], int], mix: Mix) -> dict[tuple[str, ..
         open_, left, share = sorted(below[node]), min(budget, room[node]), {}
         heft = {}
         named = [k for k in open_ if k in mix.weights]
-        spare = max(0.0, 1.0 - sum(mix.weights[k] for k in named))
         rest = sum(tokens[k] for k in open_ if k not in mix.weights)
+        spare, scale = 1.0 - sum(w for k, w in mix.weights.items() if k[:-1] == node), 1.0
+        if spare < 1e-9:  # the weights leave nothing: children without one keep their natural share, the others split the rest
+            spare = rest / tokens[node] if tokens[node] else 0.0
+            scale = (1.0 - spare) / (sum(mix.weights[k] for k in named) or 1.0)
         for k in open_:
-            heft[k] = float(mix.weights[k]) if k in mix.weights else (spare if named else 1.0) * (tokens[k] / rest if rest else 0.0)
+            heft[k] = scale * mix.weights[k] if k in mix.weights else (spare if named else 1.0) * (tokens[k] / rest if rest else 0.0)
         while open_:
             total = sum(heft[k] for k in open_)
             if total <= 0:

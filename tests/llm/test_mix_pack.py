@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm import mixing, packing
 from blockloom.llm.mixing import Mix, mix_sources, solve
+from blockloom.llm.queries import TARGETS
 from tests.llm.conftest import DOC, clashing, corpus
 
 
@@ -23,6 +24,20 @@ def test_shortages_go_to_siblings_before_ancestors():
     assert sum(solve(supply, Mix(even, budget=600, max_epochs=3)).values()) == pytest.approx(600)
 
 
+def test_weights_that_add_up_to_one_leave_the_others_their_share(spark):
+    supply = {("web", "en", "src1"): 500, ("books", "en", "src9"): 300, ("forums", "en", "src15"): 150, ("other", "en", "odd"): 30, ("other", "unknown", "unknown"): 20}
+    got = solve(supply, Mix(TARGETS, budget_fraction=0.8, max_epochs=2))
+    assert got[("other", "en", "odd")] + got[("other", "unknown", "unknown")] == pytest.approx(40) and sum(got.values()) == pytest.approx(800)
+    assert got[("web", "en", "src1")] == pytest.approx(380) and got[("books", "en", "src9")] == pytest.approx(228)
+    got = solve({k: n for k, n in supply.items() if k[0] != "books"}, Mix(TARGETS, budget=350))  # nor do weights of what isn't there
+    assert got[("other", "en", "odd")] == pytest.approx(350 * 30 / 700)
+    rows = [(i, "a b c d", "en", ["src1", "src9", "src15", "odd", None][i % 5], 7) for i in range(500)]
+    copies = defaultdict(int)
+    for r in mix_sources(spark.createDataFrame(rows, DOC), Mix(TARGETS, budget_fraction=0.5)).collect():
+        copies[r.source] += r._copies
+    assert copies["odd"] == copies[None] == 50
+
+
 @pytest.mark.parametrize("epochs, share, bucket", [(1, 0.5, 1000), (1, 0.7, 3), (3, 1.8, 2)])
 def test_selection_is_a_prefix_of_the_seeded_order(docs, monkeypatch, epochs, share, bucket):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
