@@ -192,7 +192,7 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, _ = training.model(_docs(spark, sf_dir).filter("lang is not null").select("lang", "text"), "lang", 2000)
+    table, _ = training.model(_docs(spark, sf_dir).filter("lang is not null").select("lang", "text"), "lang")
     return table.select("n", "gram", "lang", F.round("lp", 6).alias("lp"))
 
 

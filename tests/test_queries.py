@@ -3,6 +3,7 @@
 import pytest
 
 from blockloom import queries as Q
+from blockloom.operators import training
 from tests.oracle import by_sql, rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,3 +25,10 @@ def test_entry_works_alone(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_model_is_the_whole_one(spark):
+    """As many grams as training.model keeps by default, or all there are."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("lang is not null").select("lang", "text")
+    there = training.counts(docs, "lang").select("n", "gram").distinct().count()
+    assert Q.ngram_model(spark, FOLDER).select("n", "gram").distinct().count() == min(there, training.GRAMS) > 2000
