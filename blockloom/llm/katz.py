@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._fit import held_out
-from ._runtime import Scratch, free_shuffles, text_bytes
+from ._runtime import Scratch, text_bytes
 
 _U = np.uint64
 #: Counts up to this are discounted.
@@ -133,7 +133,6 @@ def score_documents(docs: DataFrame, m: int = 7, remainder: int = 2) -> DataFram
 
     asked = dealt.groupBy("batch").applyInArrow(ask, "p int, kind int, batch int, keys binary, counts binary")
     answers = scratch.keep(asked.groupBy("p", "kind").applyInArrow(answer, "batch int, p int, kind int, values binary, stats array<bigint>"))
-    free_shuffles(spark)
     sums = {r["kind"]: r["s"] for r in answers.filter("stats is not null").groupBy("kind").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(DISCOUNTED + 3)]).alias("s")).collect()}
     none = [0] * (DISCOUNTED + 3)
     one, two = sums.get(0, none), sums.get(1, none)
@@ -192,7 +191,6 @@ def score_documents(docs: DataFrame, m: int = 7, remainder: int = 2) -> DataFram
 
     schema = "batch int, row int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, part double, p int, contexts binary, lower binary, taken binary, rows binary"
     seen = scratch.keep(dealt.groupBy("batch").cogroup(answers.select("batch", "p", "kind", "values").groupBy("batch")).applyInArrow(evaluate, schema))
-    free_shuffles(spark)
 
     def weigh(table: pa.Table) -> pa.Table:
         made = table.filter(pa.compute.is_valid(table.column("taken"))).sort_by("batch")

@@ -1,27 +1,25 @@
-"""N-gram Jaccard self-join with PartEnum signatures.
-
-A text is the set of its distinct word shingles. Sets are put into size bands such that similar sets stand in the same or
-neighbouring bands; an instance of the join holds one band and what may match it from the band below. In an instance
-the feature domain is cut into n partitions by hash. Sets that are similar enough differ in at most k of them, so:
-
-* where k is 1 or 2, every choice of n - k partitions gives a signature, and similar sets share one;
-* where k is larger, n - k is 1 + spare, every partition that isn't empty gives a signature, and similar sets share one as
-  long as one of them has no more than ``spare`` empty partitions; a set with more also gives one signature that says so.
-
-Identical sets are one class and cost no pairs. In each signature's bucket the classes are first compared with the
-bucket's smallest one, then with their neighbours by size. Buckets that this leaves in several components are then settled exactly: small ones by the pairs
-that cross components, each counted over all buckets and kept only if it shares as many signatures as similar sets must;
-large ones by comparing the bucket's largest component with the classes outside of it, and those among themselves: once
-for all buckets with that component, by size band, in blocks of bounded size and without a row for a pair that can't be
-similar. A pair comes to its whole sets only if a sketch, 16 bits for each feature, doesn't already prove more
-differences than similar sets may have. Every link is verified on the whole sets.
-
-Similar texts always share a component, so the number of links comes from comparing the classes of each component with
-one another on their whole sets, by size band, in blocks of bounded size that give a row for a class, not for a pair.
-
-Rows: null, empty and blank texts have the empty set and link with nothing; fewer words than a shingle are one feature. Rows
-that repeat a doc_id are documents of their own with the same component. Sets are compared by 64-bit hashes of their
-shingles. Extra columns don't matter; an empty table gives no rows.
+"""N-gram Jaccard self-join with two-level PartEnum signatures.
+
+A text is the set of its distinct word shingles. Equal sets are one class from the start: a class has one row, whatever the
+number of its copies. Classes are put into size bands such that similar ones stand in the same or neighbouring bands; an
+instance of the join holds one band and what may match it from the band below. Similar sets of an instance differ in at
+most k features. The feature domain is cut by hash into n1 partitions and each of these into n2 cells, and every choice of
+n2 - k2 cells of a partition makes a signature of the features in them. At least n1 - k / (k2 + 1) partitions hold at most
+k2 of the differences, and in each of those similar sets share the signature of cells without one. n1, n2 and k2 are chosen
+for each band by the least number of signatures and expected candidates.
+
+A signature of empty cells would say nothing and isn't made. Similar sets still share one unless both have many partitions
+with signatures of empty cells; such sets are signed again with other partitions.
+
+The classes of a signature's bucket are candidates of each other. Buckets with the same smallest class make one family, so
+that classes which share many buckets meet once and not in each of them. A family is compared on whole sets, in blocks of
+bounded size; a pair that meets in several families counts in the first. A block gives a row for a class, not for a
+pair: its number of links, and a class that it is held together with.
+
+Rows: null, empty and blank texts have the empty set, no links, and their own doc_id as component. Fewer words than a shingle
+are one feature. Each row is a document of its own: rows that repeat a doc_id have the component of their own text, and a row
+with a null doc_id links like any other, while only a doc_id can name a component (null: none is reachable). Sets are
+compared by 64-bit hashes of their shingles. Extra columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,66 +33,66 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import _text
-from ._runtime import Scratch, free_shuffles
+from ._runtime import Scratch, lean, text_bytes, with_row
 from .components import connected_components
 
 _U = np.uint64
-#: Bytes of signatures of one bucket group, read by one task.
-GROUP_BYTES = 8 << 20
-#: Classes up to this many are looked up by broadcast (16 bytes each); more by shuffle.
-BROADCAST_ROWS = 500_000
-#: Sets of one side of a comparison block.
-BLOCK = 512
-#: Classes, and bytes of their sets, of one side of a block in which links are counted.
-LINK_BLOCK, LINK_BYTES = 1024, 4 << 20
-#: Buckets up to this many classes are settled by pairs, larger ones in blocks.
-PAIRED = 2
+#: Bytes of signatures or sets of one group, read by one task.
+GROUP_BYTES = 6 << 20
+#: Rows up to this many are looked up by broadcast (at most some 100 bytes each); more by shuffle.
+BROADCAST_ROWS = 200_000
+#: Classes, and bytes of their sets, of one side of a block.
+BLOCK, BLOCK_BYTES = 1024, 3 << 20
+#: In the choice of partitions: the share of features that unrelated texts may have in common, and the signatures a candidate costs.
+COMMON, CANDIDATE = 0.3, 100
+#: Times that sets with many empty cells are signed, and the most of a band's sets that may need the next time.
+TIMES, MOST_BARE = 10, 0.2
 
 
-_DOC = np.dtype([("d", "<i8"), ("ok", "u1"), ("n", "<i8"), ("node", "<i8")])
+def _above(mean: float, n: int) -> float:
+    """The chance that a Poisson number of this mean is above n."""
+    if mean > 50:
+        return math.erfc((n + 0.5 - mean) / math.sqrt(2 * mean)) / 2
+    return max(0.0, 1 - sum(math.exp(-mean + j * math.log(max(mean, 1e-300)) - math.lgamma(j + 1)) for j in range(min(n, 400) + 1)))
 
 
 class Bands:
-    """Size bands and their partition counts for a threshold of percent / 100, up to a largest size."""
+    """Size bands and their partitions for a threshold of percent / 100, up to a largest size."""
 
     def __init__(self, percent: int, largest: int) -> None:
-        lo, self.lo, self.hi, self.k, self.n, self.spare = 1, [], [], [], [], []
-        while True:
+        self.percent = percent
+        names = ("lo", "hi", "k", "n1", "n2", "k2", "spare")
+        rows, lo = [], 1
+        while not rows or rows[-1][0] <= largest:
             hi = lo * 100 // percent
             k = 2 * hi * (100 - percent) // (100 + percent)
-            n, spare = (k + 3 if k <= 2 else k + 1), 0
-            if k > 2:
-                least = -(-lo * percent // 100)
-                for _ in range(50):
-                    empty = n * (1 - 1 / n) ** least
-                    want = math.ceil(empty + 4 * math.sqrt(empty) + 1)
-                    if want <= spare:
-                        break
-                    spare, n = want, k + 1 + want
-            for name, v in (("lo", lo), ("hi", hi), ("k", k), ("n", n if k else 0), ("spare", spare)):
-                getattr(self, name).append(v)
-            if lo > largest:
-                break
+            rows.append((lo, hi, k, *(self._partitions(lo, k) if k else (0, 1, 0, 0))))
             lo = hi + 1
-        for name in ("lo", "hi", "k", "n", "spare"):
-            setattr(self, name, np.array(getattr(self, name)))
-
-        self.percent = percent
+        for name, column in zip(names, zip(*rows, strict=True), strict=True):
+            setattr(self, name, np.array(column))
+
+    def _partitions(self, lo: int, k: int) -> tuple[int, int, int, int]:
+        """(n1, n2, k2, partitions with signatures of empty cells that a set may have) of least cost."""
+        least = -(-lo * self.percent // 100)
+        best = None
+        for k2, more, extra in itertools.product(range(min(k, 2) + 1), range(1, 5), (*range(12), *(x / 32 for x in range(1, 17)))):
+            n2, spoilt = (k2 + more if k2 else 1), k // (k2 + 1)
+            spare = extra if isinstance(extra, int) else math.ceil(extra * spoilt)
+            n1 = spoilt + 1 + spare
+            bare = _above(n1 * math.comb(n2, k2) * (1 - (n2 - k2) / (n1 * n2)) ** least, spare)
+            if bare > MOST_BARE:
+                continue
+            signatures, features = n1 * math.comb(n2, k2) / (1 - bare), lo * (n2 - k2) / (n1 * n2)
+            cost = signatures * (1 + CANDIDATE * COMMON**features)
+            if best is None or cost < best[0]:
+                best = cost, (n1, n2, k2, spare)
+        return best[1]
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lo, sizes, "right") - 1
 
-    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Features in which similar sets of these sizes differ at most."""
-        return (a + b) * (100 - self.percent) // (100 + self.percent)
-
-    def must(self, inst: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Signatures of an instance that similar sets of these sizes share at least."""
-        return np.where(self.k[inst] <= 2, 1, np.maximum(1, self.k[inst] + 1 - self.differ(a, b)))
-
 
 def sets_of(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature) of distinct shingles in order, features of each row, fingerprint of each row's set."""
@@ -107,86 +105,64 @@ def sets_of(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     return row, h, counts, _text.mix(total + counts.astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def signatures(row: np.ndarray, h: np.ndarray, counts: np.ndarray, bands: Bands, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(row: np.ndarray, h: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of each set in its own instance and, where it may match the next band, in that one."""
     own = bands.of(np.maximum(counts, 1))
-    out_row, out_sig = [], []
-    x = _text.mix(h + _U(0x2545F4914F6CDD1D))
-    value = _text.mix(x ^ _U(0x1F83D9ABFB41BD6B))
+    rows, sigs = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
     for step in (0, 1):
         inst = np.minimum(own + step, len(bands.lo) - 1)
-        on = (counts > 0) & (bands.k[inst] > 0)
+        on = (counts > 0) & (bands.n1[inst] > 0)
         if step:
-            on &= (inst > own) & (counts * 100 // percent >= bands.lo[inst])
-        parts = np.where(on, bands.n[inst], 0)
-        base = np.cumsum(parts) - parts
-        use = on[row]
-        r = row[use]
-        g = ((x[use] >> _U(32)) * parts[r].astype(_U)) >> _U(32)
-        cell = base[r] + g.astype(np.int64)
-        total = int(parts.sum())
-        sums = np.zeros(total, _U)
-        np.add.at(sums, cell, value[use])
-        filled = np.bincount(cell, minlength=total) > 0
-        owner = np.repeat(np.arange(len(counts)), parts)
-        place = np.arange(total) - base[owner]
-        few = bands.k[inst] <= 2
-        salt = _text.mix((inst[owner].astype(_U) << _U(32)) + place.astype(_U) + _U(1))
-        sig = _text.mix(sums + salt)
-        many = filled & ~few[owner]
-        out_row.append(owner[many])
-        out_sig.append(sig[many])
-        empties = parts - np.bincount(owner[filled], minlength=len(counts))
-        bare = np.flatnonzero(on & ~few & (empties > bands.spare[inst]))
-        if len(bare):  # as often as similar sets must share a signature
-            times = bands.must(inst[bare], bands.lo[inst[bare]] * percent // 100, bands.lo[inst[bare]] * percent // 100)
-            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            out_row.append(np.repeat(bare, times))
-            out_sig.append(_text.mix((nth.astype(_U) << _U(32)) + np.repeat(inst[bare], times).astype(_U) + _U(0x3C6EF372FE94F82B)))
-        for k in (1, 2):
-            which = np.flatnonzero(on & (bands.k[inst] == k))
-            if len(which):
-                cells = sig[base[which][:, None] + np.arange(k + 3)]
-                for c, chosen in enumerate(itertools.combinations(range(k + 3), 3)):
-                    with np.errstate(over="ignore"):
-                        out_sig.append(_text.mix(cells[:, chosen].sum(1, dtype=_U) + _U(c + 1)))
-                    out_row.append(which)
-    return np.concatenate(out_row), np.concatenate(out_sig)
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def sketch(h: np.ndarray) -> np.ndarray:
-    """16 bits of each feature, sorted."""
-    return np.sort((_text.mix(h ^ _U(0x6A09E667F3BCC909)) >> _U(48)).astype(np.uint16))
-
-
-def _distinct_copies(low: np.ndarray) -> np.ndarray:
-    """A sorted multiset as a set: each value with its number among its equals."""
-    head = np.r_[True, low[1:] != low[:-1]]
-    first = np.maximum.accumulate(np.where(head, np.arange(len(low)), 0)) if len(low) else np.zeros(0, np.int64)
-    return low.astype(np.int64) << 16 | (np.arange(len(low)) - first)
-
-
-def may_be_similar(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, percent: int) -> bool:
-    """False only where the sketches prove too many differences."""
-    both = len(np.intersect1d(_distinct_copies(a), _distinct_copies(b), assume_unique=True))
-    return (len(a) + len(b) - 2 * both) * (100 + percent) <= (size_a + size_b) * (100 - percent)
-
-
-def shared(many: list[np.ndarray], step: int = 4096) -> np.ndarray:
+            on &= (inst > own) & (counts * 100 // bands.percent >= bands.lo[inst])
+        for time in range(TIMES):
+            if not on.any():
+                break
+            last = time == TIMES - 1
+            r, s, bare = _signed(row, h, counts, inst, on, bands, time, last)
+            rows.append(r)
+            sigs.append(s)
+            on = bare
+    return np.concatenate(rows), np.concatenate(sigs)
+
+
+def _signed(row: np.ndarray, h: np.ndarray, counts: np.ndarray, inst: np.ndarray, on: np.ndarray, bands: Bands, time: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature) by the partitions of one time, and which sets have too many signatures of empty cells; ``last`` makes those too."""
+    n2, k2 = bands.n2[inst], bands.k2[inst]
+    cells = np.where(on, bands.n1[inst] * n2, 0)
+    base = np.cumsum(cells) - cells
+    use = on[row]
+    r, f = row[use], _text.mix(h[use] + _U((0x2545F4914F6CDD1D * (2 * time + 1)) & ((1 << 64) - 1)))
+    cell = base[r] + (((f >> _U(32)) * cells[r].astype(_U)) >> _U(32)).astype(np.int64)
+    total = int(cells.sum())
+    value, filled = np.zeros(total, _U), np.zeros(total, bool)
+    np.add.at(value, cell, _text.mix(f ^ _U(0x1F83D9ABFB41BD6B)))
+    filled[cell] = True
+    owner = np.repeat(np.arange(len(counts)), cells)
+    place = np.arange(total) - base[owner]
+    value = _text.mix(value + _text.mix((inst[owner].astype(_U) << _U(40)) + (place.astype(_U) << _U(4)) + _U(time)))
+    rows, sigs, thin = [], [], np.zeros(len(counts), np.int64)
+    for m2, q2 in {(int(a), int(b)) for a, b in zip(n2[on], k2[on], strict=True)}:
+        mine = np.flatnonzero((n2[owner] == m2) & (k2[owner] == q2))
+        v, there, of = value[mine].reshape(-1, m2), filled[mine].reshape(-1, m2), owner[mine[::m2]]
+        np.add.at(thin, of, there.sum(1) <= q2)
+        for c, chosen in enumerate(itertools.combinations(range(m2), m2 - q2)):
+            some = np.ones(len(of), bool) if last else there[:, chosen].any(1)
+            rows.append(of[some])
+            sigs.append(_text.mix(v[some][:, chosen].sum(1, dtype=_U) + _U(c + 1)))
+    return np.concatenate(rows), np.concatenate(sigs), on & (thin > bands.spare[inst])
+
+
+def shared(many: list[np.ndarray], step: int = 1024) -> np.ndarray:
     """How many features each two sets have in common."""
     owner = np.repeat(np.arange(len(many)), [len(x) for x in many])
     _, f, often = np.unique(np.concatenate(many), return_inverse=True, return_counts=True)
-    names = np.cumsum(often > 1) - 1
-    use = often[f] > 1
+    some = (often > 1) & (often < len(many))
+    names = np.cumsum(some) - 1
+    use = some[f]
     owner, f = owner[use], names[f[use]]
     order = np.argsort(f, kind="stable")
     owner, f = owner[order], f[order]
-    both = np.zeros((len(many), len(many)), np.float32)
+    both = np.full((len(many), len(many)), np.float32((often == len(many)).sum()))
     for s in range(0, int(f[-1]) + 1 if len(f) else 0, step):
         i, j = np.searchsorted(f, [s, s + step])
         m = np.zeros((len(many), min(step, int(f[-1]) + 1 - s)), np.float32)
@@ -195,287 +171,169 @@ def shared(many: list[np.ndarray], step: int = 4096) -> np.ndarray:
     return both
 
 
-def _runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (signature, node) of signatures with several nodes, in order, and where each signature begins."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[new], node[new]
-    head = np.ones(len(sig), bool)
-    head[1:] = sig[1:] != sig[:-1]
-    size = np.diff(np.append(np.flatnonzero(head), len(sig)))
-    keep = np.repeat(size > 1, size)
-    return sig[keep], node[keep], head[keep]
-
-
-def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text); with ``links`` also n_links, the rows it is similar to."""
-    count_links = links
+def _linked(family: int, side: np.ndarray | None, n: np.ndarray, copies: np.ndarray, families: list[np.ndarray], many: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one block: links of each class by the others' copies, and the first class that it is held together with.
+
+    ``side``: only classes of different sides are compared. A pair that shares an earlier family counts there.
+    """
+    both = shared(many)
+    earlier = [x[x < family] for x in families]
+    elsewhere = shared(earlier) if any(map(len, earlier)) else None
+    if elsewhere is not None:  # families that all have, or one only, aren't names there
+        elsewhere = elsewhere > 0
+    ok = np.empty(both.shape, bool)
+    for s in range(0, len(n), 256):
+        k = both[s : s + 256]
+        ok[s : s + 256] = 100 * k >= percent * (n[s : s + 256, None] + n[None] - k)
+    del both
+    np.fill_diagonal(ok, False)
+    if side is not None:
+        ok &= side[:, None] != side[None]
+    if elsewhere is not None:
+        ok &= ~elsewhere
+    links, first = np.zeros(len(n), np.int64), np.arange(len(n))
+    for s in range(0, len(n), 256):
+        links[s : s + 256] = (ok[s : s + 256] * copies).sum(1)
+    while True:
+        near = first.copy()
+        for s in range(0, len(n), 256):
+            near[s : s + 256] = np.minimum(near[s : s + 256], np.where(ok[s : s + 256], first, len(n)).min(1, initial=len(n)))
+        near = near[near]
+        if (near == first).all():
+            return links, first
+        first = near
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, n_links (the other rows it is similar to), component_id for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch)
     bands = Bands(percent, 1 << 31)
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 13 // (10 * GROUP_BYTES)))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(least, -(-text_bytes(docs) * 3 // (2 * GROUP_BYTES)))  # about 1.5 bytes of signatures for each byte of text
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed signatures for each group, and one packed row for the documents of a slice."""
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    # The set of each row, and the classes of equal sets.
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id")
             for lo, hi, data, offs in _text.slices(b.column("text")):
+                _, _, counts, node = sets_of(data, offs, size)
+                yield pa.RecordBatch.from_arrays([b.column("_row").slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo), pa.array(counts), pa.array(node)], names=["row", "doc_id", "n", "node"])
+
+    described = scratch.keep(docs.mapInArrow(describe, "row long, doc_id long, n long, node long"))
+    filled = described.filter("n > 0")
+    classes = scratch.keep(filled.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    copied = scratch.keep(described.join(classes.select("row"), "row", "left_anti").select(F.col("row").alias("_row")))
+
+    # One row a class gives its signatures, dealt into groups; those of a slice for a group are one packed row.
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offs in _text.slices(b.column("text")):
                 row, h, counts, node = sets_of(data, offs, size)
-                r, sig = signatures(row, h, counts, bands, percent)
+                r, sig = signatures(row, h, counts, bands)
                 p = ((_text.mix(sig) >> _U(32)) * _U(groups)) >> _U(32)
-                order = np.argsort(p, kind="stable")
-                p, sig, nodes = p[order], sig[order], node[r][order]
-                cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
-                ends = np.append(cut[1:], len(p))[: len(cut)]
-                rec = np.zeros(hi - lo, _DOC)
-                part = ids.slice(lo, hi - lo)
-                rec["ok"], rec["d"], rec["n"], rec["node"] = part.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(part, 0).to_numpy(), counts, node
-                home = int(_text.mix(node[:1].view(_U))[0] % _U(groups))
-                blobs = lambda x, c=cut, e=ends: [x[i:j].tobytes() for i, j in zip(c, e, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([*p[cut].astype(np.int32), home], pa.int32()), pa.array([*blobs(sig), None], pa.binary()), pa.array([*blobs(nodes), rec.tobytes()], pa.binary())], names=["p", "sigs", "nodes"])
+                order = np.lexsort((r, p))
+                p, r, sig = p[order], r[order], sig[order]
+                run = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (r[1:] != r[:-1])][: len(p)])
+                times = np.diff(np.append(run, len(p))).astype(np.uint32)
+                owners, group = node[r[run]], p[run]
+                cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+                ends = np.append(cut[1:], len(group))[: len(cut)]
+                at = np.append(run, len(p))
+                blobs = lambda x, a, z: pa.array([x[i:j].tobytes() for i, j in zip(a, z, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(group[cut].astype(np.int32)), blobs(sig, at[cut], at[ends]), blobs(owners, cut, ends), blobs(times, cut, ends)], names=["p", "sigs", "nodes", "times"])
 
     def buckets(table: pa.Table) -> pa.Table:
-        known = pc.is_valid(table.column("sigs"))
-        rec = np.frombuffer(b"".join(table.filter(pc.invert(known)).column("nodes").to_pylist()), _DOC)
-        table = table.filter(known)
-        sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.int64)
-        node = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-        sig, node, head = _runs(sig, node)
-        p = int((((_text.mix(sig[:1].view(_U)) >> _U(32)) * _U(groups)) >> _U(32))[0]) if len(sig) else 0
-        rep = node[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sig) else node
-        m, k = len(sig), len(rec)
-        mine, theirs = np.r_[np.zeros(m, bool), np.ones(k, bool)], np.r_[np.ones(m, bool), np.zeros(k, bool)]
-        pad = lambda a, b, mask: pa.array(np.r_[a, b].astype(np.int64), mask=mask)
-        zm, zk = np.zeros(m, np.int64), np.zeros(k, np.int64)
-        return pa.table({"p": np.full(m + k, p, np.int32), "sig": pad(sig, zk, mine), "node": np.r_[node, rec["node"]], "rep": pad(rep, zk, mine), "doc_id": pad(zm, rec["d"], theirs | (np.r_[zm, rec["ok"]] == 0)), "n": pad(zm, rec["n"], theirs)})
-
-    signed = scratch.keep(docs.mapInArrow(sign, "p int, sigs binary, nodes binary").groupBy("p").applyInArrow(buckets, "p int, sig long, node long, rep long, doc_id long, n long"))
-    free_shuffles(spark)
-    bucketed = signed.filter("sig is not null").select("p", "sig", "node", "rep")
-    described = signed.filter("sig is null").select("doc_id", "n", "node")
-
-    # The sets of the classes that share a bucket with another one, each from one of its documents.
-    needed = bucketed.select("node").distinct()
-    wanted = scratch.keep(described.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null"))
-    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Families (smallest class of a bucket) and their other classes."""
+        whole = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)])
+        sig, node = whole("sigs", np.int64), np.repeat(whole("nodes", np.int64), whole("times", np.uint32))
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        times = np.diff(np.append(head, len(sig)))
+        family = np.repeat(np.minimum.reduceat(node, head), times)
+        other = family != node
+        order = np.lexsort((node[other], family[other]))
+        family, node = family[other][order], node[other][order]
+        new = np.r_[True, (family[1:] != family[:-1]) | (node[1:] != node[:-1])][: len(node)]
+        out = pa.table({"family": family[new], "node": node[new]})
+        del sig, node, family, order, other
+        lean()
+        return out
+
+    signed = docs.select("_row", "text").join(small(copied), "_row", "left_anti").mapInArrow(sign, "p int, sigs binary, nodes binary, times binary")
+    others = scratch.keep(signed.groupBy("p").applyInArrow(buckets, "family long, node long").distinct())
+    members = others.unionByName(others.select("family", F.col("family").alias("node")).distinct())
+
+    # Families too large for one block are cut by hash; each two of their parts make a block.
+    sized = scratch.keep(members.join(classes.select("node", "n"), "node"))
+    by_class, by_bytes = F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)
+    large = scratch.keep(sized.groupBy("family").agg(F.greatest(by_class, by_bytes).cast("int").alias("parts")).filter("parts > 1"))
+    sized = scratch.keep(sized.join(small(large), "family", "left").fillna(1, ["parts"]))
+    load = sized.agg(F.sum((F.col("n") * 8 + 64) * F.col("parts"))).first()[0] or 0
+    groups_of_blocks = max(least, -(-load // GROUP_BYTES))
+    asked = sized.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("family", "parts"))).alias("families")).join(classes.select("node", "row", "copies"), "node")
+    asked = scratch.keep(asked.withColumnRenamed("row", "_row"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The whole set of each class for every block it stands in."""
+        names = ("p", "family", "lo", "hi", "part", "node", "n", "copies", "families", "features")
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
         for b in batches:
-            for _, _, data, offs in _text.slices(b.column("text")):
-                row, h, counts, node = sets_of(data, offs, size)
-                ends = np.cumsum(counts)
-                each = [h[e - c : e] for c, e in zip(counts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(counts), pa.array([sketch(x).tobytes() for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["node", "n", "low", "features"])
-
-    sets = docs.join(small(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(features, "node long, n long, low binary, features binary")
-    sets = scratch.keep(sets.join(small(wanted.select("node")), "node", "left_semi"))
-    if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # rows that repeat a doc_id and its text
-        sets = scratch.keep(sets.dropDuplicates(["node"]))
-    free_shuffles(spark)
-
-    def compared(pairs: DataFrame, column: str, test) -> DataFrame:
-        """Of pairs (a, b), those whose sets' columns pass the test."""
-        pairs = scratch.keep(pairs)
-        few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
-        # A class may be the smallest of very many: its set is salted, so that no task gets all of them.
-        load = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / 64).cast("int").alias("salts"))
-        left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(column).alias("fa")).join(few(load), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        salted = pairs.join(few(load), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).select("a", "b", "salt")
-        right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(column).alias("fb")).join(few(salted), "b")
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                ok = [test(x.as_buffer(), y.as_buffer(), m.as_py(), n.as_py()) for x, y, m, n in zip(t.column("fa"), t.column("fb"), t.column("na"), t.column("nb"), strict=True)]
-                yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        return right.join(left.drop("salts"), ["a", "salt"]).select("a", "b", "na", "nb", "fa", "fb").mapInArrow(each, "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        low = compared(pairs, "low", lambda x, y, m, n: may_be_similar(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), m, n, percent))
-        return compared(low, "features", lambda x, y, m, n: similar(np.frombuffer(x, _U), np.frombuffer(y, _U), percent))
-
-    # First, each class against the two smallest classes of buckets that it shares most often.
-    stars = bucketed.filter("rep <> node").groupBy("rep", "node").count()
-    best = stars.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "rep"))).filter("k <= 2")
-    best = scratch.keep(best.select(F.col("rep").alias("a"), F.col("node").alias("b")))
-    links = scratch.keep(verified(best))
-    joined = connected_components(links, scratch)
-    free_shuffles(spark)
-
-    sizes = sets.select("node", "n")
-
-    def in_components(joined: DataFrame, rows: DataFrame = bucketed) -> DataFrame:
-        named = rows.drop("rep").join(joined, "node", "left").join(sizes, "node")
-        return named.withColumn("component", F.coalesce("component", "node"))
-
-    # Then classes that stand side by side by size in a bucket and in different components. This and the round before only
-    # save work for what follows, which misses nothing: a quarter of the buckets is enough here.
-    def beside(table: pa.Table) -> pa.Table:
-        col = lambda c: table.column(c).to_numpy()
-        order = np.lexsort((col("node"), col("n"), col("sig")))
-        sig, node, comp, n = (col(c)[order] for c in ("sig", "node", "component", "n"))
-        near = (sig[1:] == sig[:-1]) & (comp[1:] != comp[:-1]) & (n[:-1] * 100 >= percent * n[1:])
-        a, b = np.minimum(node[:-1], node[1:])[near], np.maximum(node[:-1], node[1:])[near]
-        pairs, times = np.unique(np.stack([a, b], 1), axis=0, return_counts=True)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "times": times})
-
-    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = in_components(joined, bucketed.filter("sig % 4 = 0")).groupBy("p").applyInArrow(beside, "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times")).join(tested, ["a", "b"], "left_anti")
-    rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("times"), "a", "b"))
-    near = scratch.keep(near.withColumns({"ka": rank("a"), "kb": rank("b")}).filter("ka = 1 or kb = 1").select("a", "b"))
-    links = scratch.keep(links.unionByName(verified(near)))
-    joined = connected_components(links, scratch)
-    tested = tested.unionByName(near)
-    free_shuffles(spark)
-
-    # At last what the buckets still hold in several components.
-    named = in_components(joined)
-
-    def unsettled(table: pa.Table) -> pa.Table:
-        """Pairs that cross components, with how often they share a bucket and must; members of large buckets."""
+            lists = b.column("families")
+            bounds, flat = lists.offsets.to_numpy(), lists.values
+            every, parts = flat.field("family").to_numpy(), flat.field("parts").to_numpy(zero_copy_only=False)
+            copies = b.column("copies").to_numpy()
+            for first, _, data, offs in _text.slices(b.column("text")):
+                _, h, counts, node = sets_of(data, offs, size)
+                ends, out, held = np.cumsum(counts), [], 0
+                for i, c in enumerate(counts):
+                    own = slice(bounds[first + i], bounds[first + i + 1])
+                    features, known = h[ends[i] - c : ends[i]].tobytes(), every[own].tobytes()
+                    mine = _text.mix(every[own].view(_U) ^ _text.mix(node[i : i + 1].view(_U)))
+                    for family, m, x in zip(every[own].tolist(), parts[own].tolist(), mine.tolist(), strict=True):
+                        part = x % m
+                        for k in range(m):
+                            lo, hi = min(part, k), max(part, k)
+                            p = hash((family, lo, hi)) % groups_of_blocks
+                            out.append((p, family, lo, hi, part, int(node[i]), int(c), int(copies[first + i]), known, features))
+                            held += len(features) + len(known) + 80
+                            if held > GROUP_BYTES:
+                                yield pack(out)
+                                out, held = [], 0
+                if out:
+                    yield pack(out)
+
+    def compare(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
-        order = np.lexsort((col("node"), col("component"), col("sig")))
-        sig, node, comp, n = (col(c)[order] for c in ("sig", "node", "component", "n"))
-        head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        a, b, hot, mains = [], [], [], []
-        for s, e in zip(head, np.append(head[1:], len(sig)), strict=True):
-            if comp[s] == comp[e - 1]:
-                continue
-            m = e - s
-            sizes = np.diff(np.flatnonzero(np.r_[True, comp[s + 1 : e] != comp[s : e - 1], True]))
-            if m > PAIRED:
-                big = int(sizes.argmax())
-                start = s + int(sizes[:big].sum())
-                rest = np.r_[s:start, start + sizes[big] : e]
-                hot.append(rest)
-                mains.append(np.full(len(rest), comp[start]))
-                continue
-            ends = np.cumsum(sizes)
-            for k in range(len(sizes) - 1):  # each component with all that stand behind it
-                i, j = np.meshgrid(np.arange(s + ends[k] - sizes[k], s + ends[k]), np.arange(s + ends[k], e), indexing="ij")
-                a.append(i.ravel())
-                b.append(j.ravel())
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        fits = np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b])
-        a, b = a[fits], b[fits]
-        must = bands.must(bands.of(np.maximum(n[a], n[b])), n[a], n[b])
-        a, b = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-        order = np.lexsort((b, a))
-        a, b, must = a[order], b[order], must[order]
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(a)))
-        rest, main = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (hot, mains))
-        outside = np.unique(np.stack([node[rest], main], 1), axis=0) if len(rest) else np.zeros((0, 2), np.int64)
-        k, m = len(first), len(outside)
-        pad = np.zeros(m, np.int64)
-        return pa.table({
-            "a": np.r_[a[first], outside[:, 0]], "b": pa.array(np.r_[b[first], pad], mask=np.arange(k + m) >= k), "times": np.r_[times, pad], "must": np.r_[must[first], pad],
-            "main": pa.array(np.r_[np.zeros(k, np.int64), outside[:, 1]], mask=np.arange(k + m) < k),
-        })
-
-    left = scratch.keep(named.groupBy("p").applyInArrow(unsettled, "a long, b long, times long, must long, main long"))
-    paired = left.filter("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("must").alias("must")).filter("times >= must").select("a", "b")
-    # What large buckets hold outside of their largest component, against it and among itself.
-    outside = left.filter("b is null").select(F.col("a").alias("node"), "main").distinct()
-    whole = sizes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = whole.join(outside.select(F.col("main").alias("component")).distinct(), "component", "left_semi").withColumn("main", F.col("component"))
-    outside = outside.join(whole, "node")
-    limits = [int(x) for x in bands.lo if x <= 1 << 40]
-
-    def banded(rows: DataFrame) -> DataFrame:
-        """Each set in its size band and, where it may match it, in the next one."""
-        own = F.size(F.filter(F.array(*map(F.lit, limits)), lambda lo: lo <= F.col("n"))) - 1
-        rows = rows.withColumn("own", own)
-        up = F.element_at(F.array(*map(F.lit, [*limits, 1 << 62])), F.col("own") + 2)
-        return rows.withColumn("band", F.explode(F.when(F.floor(F.col("n") * 100 / percent) >= up, F.array("own", F.col("own") + 1)).otherwise(F.array("own")))).withColumn("home", F.col("band") == F.col("own")).drop("own")
-
-    outside, inside = banded(outside.select("main", "node", "n", "component")), banded(inside.select("main", "node", "n", "component"))
-    inside = inside.join(outside.select("main", "band").distinct(), ["main", "band"], "left_semi")
-    members = scratch.keep(outside.withColumn("inside", F.lit(False)).unionByName(inside.withColumn("inside", F.lit(True))))
-    side = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c.cast("int")) / BLOCK)).cast("int")
-    counts = members.groupBy("main", "band").agg(side(F.col("inside")).alias("m"), side(~F.col("inside")).alias("r"))
-    members = members.join(counts, ["main", "band"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("m")).otherwise(F.col("r"))).cast("int"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("lo"), j.alias("hi"))
-    blk = F.col("blk")
-    across = F.when(F.col("inside"), F.transform(upto("r"), lambda r: cell("m", blk, r))).otherwise(F.concat(F.transform(upto("m"), lambda m: cell("m", m, blk)), F.transform(upto("r"), lambda r: cell("r", F.least(blk, r), F.greatest(blk, r)))))
-    members = members.withColumn("cell", F.explode(across)).select("main", "band", "cell.*", "blk", "inside", "node", "component").join(sets.select("node", "n", "low"), "node")
-
-    def settle(key: tuple, table: pa.Table, one: bool) -> pa.Table:
-        """Pairs of a block that cross components and that their sketches leave possible; ``one``: the nearest of each two components."""
-        if table.num_rows < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        kind, lo, hi = (k.as_py() for k in key[2:])
-        blk, node, comp, n = (table.column(c).to_numpy() for c in ("blk", "node", "component", "n"))
-        side = table.column("inside").to_numpy(zero_copy_only=False) if kind == "m" else blk
-        many = [_distinct_copies(np.frombuffer(x.as_buffer(), np.uint16)) for x in table.column("low").combine_chunks()]
-        own = np.array([len(x) for x in many])
-        both = shared(many)
-        ok = (own[:, None] + own[None] - 2 * both) * (100 + percent) <= (n[:, None] + n[None]) * (100 - percent)
-        ok &= np.minimum(n[:, None], n[None]) * 100 >= percent * np.maximum(n[:, None], n[None])
-        ok &= comp[:, None] != comp[None]
-        a, b = np.nonzero(np.triu(ok, 1))
-        use = np.ones(len(a), bool) if kind == "r" and lo == hi else side[a] != side[b]
-        a, b = a[use], b[use]
-        if one and len(a):
-            x, y = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-            order = np.lexsort((node[b], node[a], own[a] + own[b] - 2 * both[a, b], y, x))
-            first = np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])]
-            a, b = a[order][first], b[order][first]
-        a, b = node[a], node[b]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    # Two components need one link. Should the nearest pair of some two turn out too different on the whole sets, all are tried.
-    cells = members.groupBy("main", "band", "kind", "lo", "hi")
-    dense = scratch.keep(cells.applyInArrow(lambda key, table: settle(key, table, True), "a long, b long").distinct())
-    true = scratch.keep(verified(dense))
-    if not dense.join(true, ["a", "b"], "left_anti").isEmpty():
-        dense = cells.applyInArrow(lambda key, table: settle(key, table, False), "a long, b long").distinct()
-        true = true.unionByName(verified(dense.join(true, ["a", "b"], "left_anti")))
-    crossing = paired.join(tested, ["a", "b"], "left_anti")
-    links = scratch.keep(links.unionByName(true).unionByName(verified(crossing)))
-    free_shuffles(spark)
-    final = connected_components(links, scratch)
-    classes = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = classes.join(classes.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
-    alone = described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    if not count_links:
-        return described.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
-
-    # The links of each class to the others of its component; two sets meet in the band of the larger one.
-    copies = described.filter("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    members = scratch.keep(banded(sizes.join(final, "node")).join(copies, "node"))
-    groups_of = ["component", "band"]
-    many = members.groupBy(*groups_of).agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("any"), F.greatest(F.ceil(F.count(F.lit(1)) / LINK_BLOCK), F.ceil(F.sum("n") * 8 / LINK_BYTES)).cast("int").alias("blocks"))
-    many = scratch.keep(many.filter("m > 1 and any").select(*groups_of, "blocks"))
-    members = members.join((F.broadcast if many.count() <= BROADCAST_ROWS else lambda df: df)(many), groups_of)
-    members = members.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(upto("blocks")))
-    members = members.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).drop("other", "blocks")
-    members = members.join(sets.select("node", "features"), "node")
-
-    def linked(key: tuple, table: pa.Table) -> pa.Table:
-        """Links of each class of a block to the others, by their copies."""
-        within = key[2].as_py() == key[3].as_py()
-        node, n, copies, blk = (table.column(c).to_numpy() for c in ("node", "n", "copies", "blk"))
-        home = table.column("home").to_numpy(zero_copy_only=False)
-        both = shared([np.frombuffer(x.as_buffer(), _U) for x in table.column("features").combine_chunks()])
-        found = np.zeros(len(node), np.int64)
-        for s in range(0, len(node), 256):
-            here = slice(s, s + 256)
-            k = both[here].astype(np.int64)
-            ok = (100 * k >= percent * (n[here, None] + n[None] - k)) & (home[here, None] | home[None])
-            ok &= (node[here, None] != node[None]) if within else (blk[here, None] != blk[None])
-            found[here] = (ok * copies).sum(1)
-        hit = np.flatnonzero(found)
-        return pa.table({"node": node[hit], "links": found[hit]})
-
-    counted = members.groupBy(*groups_of, "lo", "hi").applyInArrow(linked, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    number = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    named = scratch.keep(named.join(copies, "node").join(counted, "node", "left").select("node", "component_id", number))
-    out = described.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "n_links", "component_id")
-    return out.unionByName(alone.withColumn("n_links", F.lit(0).cast("long")))
+        order = np.lexsort((col("node"), col("hi"), col("lo"), col("family")))
+        table = table.take(pa.array(order))
+        family, lo, hi, part, node, n, copies = (col(c) for c in ("family", "lo", "hi", "part", "node", "n", "copies"))
+        known, features = (table.column(c).combine_chunks() for c in ("families", "features"))
+        head = np.flatnonzero(np.r_[True, (family[1:] != family[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        outs = []
+        for s, e in zip(head, np.append(head[1:], len(node)), strict=True):
+            if e - s > 1:
+                views = lambda x, kind: [np.frombuffer(v.as_buffer(), kind) for v in x.slice(s, e - s)]  # noqa: B023, E731
+                links, first = _linked(family[s], part[s:e] if lo[s] < hi[s] else None, n[s:e], copies[s:e], views(known, np.int64), views(features, _U), percent)
+                hit = np.flatnonzero(links)
+                outs.append((node[s:e][hit], links[hit], node[s:e][first[hit]]))
+        out = [np.concatenate(c) for c in zip(*outs, strict=True)] if outs else [np.zeros(0, np.int64)] * 3
+        lean()
+        return pa.table(dict(zip(("node", "links", "with"), out, strict=True)))
+
+    blocks = docs.select("_row", "text").join(small(asked), "_row").mapInArrow(deal, "p int, family long, lo int, hi int, part int, node long, n long, copies long, families binary, features binary")
+    found = scratch.keep(blocks.groupBy("p").applyInArrow(compare, "node long, links long, `with` long"))
+
+    held = connected_components(found.select(F.col("node").alias("a"), F.col("with").alias("b")), scratch)
+    named = classes.join(held, "node", "left").withColumn("component", F.coalesce("component", "node")).join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    least_id = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = scratch.keep(named.join(least_id, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    scratch.drop(copied, others, sized, large, asked, found, classes)
+    # A class may hold a third of all rows: the adaptive plan cuts such a partition of this join.
+    out = filled.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "n_links", "component_id")
+    return out.unionByName(described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id")))

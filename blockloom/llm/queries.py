@@ -19,8 +19,7 @@ def op1_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The whole join is made, links included; its SQL has these columns only.
-    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +84,7 @@ _OP2 = rf"""
     e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
     both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
     reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x)
-    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)"""
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT count(*) FROM both_ways WHERE both_ways.x = d.doc_id)::BIGINT AS n_links, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)"""
 
 _OP3 = """
     WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),

@@ -1,6 +1,7 @@
 """Jaccard join and suffix dedup against brute force, with odd rows."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -51,9 +52,7 @@ def removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("paired", [8, 1000, 1])
-def test_jaccard_components(docs, monkeypatch, paired):
-    monkeypatch.setattr(ngram_join, "PAIRED", paired)  # 1: blocks settle all, 1000: pairs do
+def test_jaccard_components(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(clashing(docs)).collect()}
     assert got == components(corpus())
 
@@ -78,51 +77,84 @@ def drifting(families=30, steps=12, words=100):
     return rows
 
 
-def test_repeated_rows_hide_no_link(spark, monkeypatch):
-    """A sketch that tells nothing apart makes the nearest pair of two components a wrong one."""
-    monkeypatch.setattr(ngram_join, "PAIRED", 1)
-    monkeypatch.setattr(ngram_join, "sketch", lambda h: np.zeros(len(h), np.uint16))
-    rows = drifting()
-    df = spark.createDataFrame(rows * 3, "doc_id long, text string")
-    got = ngram_join.jaccard_components(df).collect()
+def test_repeated_rows_are_documents_of_their_own(spark):
+    rows = drifting(8)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows * 3, "doc_id long, text string")).collect()
     assert len(got) == 3 * len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
 
 
 @pytest.mark.parametrize("block", [1024, 2])
 def test_numbers_of_links(spark, monkeypatch, block):
     """All links of each row, also those within a group that fewer would hold together; copies and repeated rows count."""
-    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)  # 2: several blocks a group
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # 2: several blocks a family
     rows = [*drifting(6), *[(1000 + i, t) for i, t in corpus()]]
     rows += [rows[3], rows[3], (2000, rows[5][1]), (None, rows[5][1]), (None, "")]
-    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     sets = [(i, shingle_set(t)) for i, t in rows]
     similar = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
     want = [(i or -1, len(a), sum(similar(a, b) for _, b in sets) - bool(a)) for i, a in sets]
     assert sorted((r.doc_id or -1, r.n_shingles, r.n_links) for r in got) == sorted(want)
 
 
+def test_null_and_repeated_ids_link_like_others(spark):
+    text = [f"t{i}" for i in range(40)]
+    near = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(text))
+    ends = [near(), near(3), near(3, 37)]  # the first and the last aren't similar
+    assert sorted(c for _, c in components([(1, ends[0]), (3, ends[2])]).values()) == [1, 3]
+    for middle in (9, None):
+        got = ngram_join.jaccard_components(spark.createDataFrame([(1, ends[0]), (middle, ends[1]), (3, ends[2])], "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.component_id, r.n_links) for r in got} == {(1, 1, 1), (middle, 1, 2), (3, 1, 1)}
+    got = ngram_join.jaccard_components(spark.createDataFrame([(5, ends[0]), (5, "other words"), (1, ends[0]), (None, "alone"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 1, 0), (1, 36, 1), (5, 1, 5), (5, 36, 1)]
+
+
 def test_signatures_are_shared_by_similar_sets():
-    """The pigeonhole itself: random pairs at the threshold share a signature, whatever their sizes."""
+    """The pigeonhole itself: pairs at the threshold share a signature, whatever their sizes and however their features fall."""
     rng = np.random.default_rng(3)
     bands = ngram_join.Bands(80, 5000)
-    for _ in range(400):
-        n = int(rng.integers(1, 400))
+    pairs = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 400)) if rng.random() < 0.7 else int(rng.integers(1, 30))
         both = rng.integers(0, 2**63, n).astype(np.uint64)
         extra = rng.integers(0, 2**63, n // 4).astype(np.uint64)
         cut = int(rng.integers(0, len(extra) + 1))
         a, b = np.unique(np.r_[both, extra[:cut]]), np.unique(np.r_[both, extra[cut:]])
         if 100 * n < 80 * (len(a) + len(b) - n) or (len(a) == len(b) == n):
             continue
-        sigs = [set(ngram_join.signatures(np.zeros(len(x), np.int64), x, np.array([len(x)]), bands, 80)[1].tolist()) for x in (a, b)]
+        sigs = [set(ngram_join.signatures(np.zeros(len(x), np.int64), x, np.array([len(x)]), bands)[1].tolist()) for x in (a, b)]
         assert sigs[0] & sigs[1]
-        assert ngram_join.may_be_similar(ngram_join.sketch(a), ngram_join.sketch(b), len(a), len(b), 80)
+        pairs += 1
+    assert pairs > 500
+
+
+def test_subsets_of_cells_are_enumerated():
+    """The number of signatures is that of two-level enumeration; unrelated sets share none."""
+    bands = ngram_join.Bands(80, 5000)
+    assert (bands.k2 > 0).any() and (bands.n1 >= bands.k // (bands.k2 + 1) + 1)[bands.k > 0].all()
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (40, 300, 300, 2000)]
+    row, h = np.repeat(np.arange(4), [len(x) for x in rows]), np.concatenate(rows)
+    counts = np.array([len(x) for x in rows])
+    owner, sigs = ngram_join.signatures(row, h, counts, bands)
+    for i, n in enumerate(counts):
+        own = int(bands.of(np.array([n]))[0])
+        most = sum(int(bands.n1[j]) * math.comb(int(bands.n2[j]), int(bands.k2[j])) for j in (own, own + 1) if j == own or n * 100 // 80 >= bands.lo[j])
+        assert 0.9 * most <= (owner == i).sum() <= 2 * most
+    assert len(np.unique(sigs)) == len(sigs)
+
+
+def test_sets_with_many_empty_cells_are_signed_again(monkeypatch):
+    """Features that all fall into one partition: similar sets share a signature of other partitions."""
+    bands = ngram_join.Bands(80, 5000)
+    salt = np.uint64(0x2545F4914F6CDD1D)
+    pool = np.arange(1, 400_000, dtype=np.uint64)
+    pool = pool[ngram_join._text.mix(pool + salt) >> np.uint64(58) == 0][:60]
+    a, b = pool[:50], np.r_[pool[:45], pool[50:55]]
+    sigs = [set(ngram_join.signatures(np.zeros(len(x), np.int64), x, np.array([len(x)]), bands)[1].tolist()) for x in (a, b)]
+    assert len(a) == len(b) == 50 and sigs[0] & sigs[1]
 
 
 def test_odd_ids_and_empty_tables(spark):
-    rows = [(None, "a b c d e f", None, None, 0), (None, None, None, None, 0), (7, "a b c d e f", None, None, 0), (7, "a b c d e f", None, None, 0), (7, "z", None, None, 0)]
-    df = spark.createDataFrame(rows, DOC)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.jaccard_components(df).collect())
-    assert got == [(False, 7, 1, 7), (False, 7, 2, 7), (False, 7, 2, 7), (True, 0, 0, 0), (True, 0, 2, 7)]
     none = spark.createDataFrame([], DOC)
     assert ngram_join.jaccard_components(none).count() == 0 and suffix_dedup.digest(none).count() == 0
     out = suffix_dedup.digest(spark.createDataFrame([(None, "q" * 150, "", "", 0), (5, "q" * 150, "", "", 0), (5, "r" * 150, "", "", 0), (5, "r" * 150, "", "", 0)], DOC))
