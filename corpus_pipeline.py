@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import mixing, ngram_join, packing, quality, suffix_dedup
-from blockloom.llm._runtime import Scratch, free_shuffles
+from blockloom.llm._runtime import Scratch
 from blockloom.llm.queries import TARGETS
 
 #: Share of the tokens that the mixture may take in all.
@@ -72,5 +72,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
         if k:
             scratch.drop(before)
-        free_shuffles(spark)
     return docs
