@@ -32,6 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
 _BYTE_LOW = _BYTE[LOWER]
+#: A second, independent value of each byte.
+_OTHER = mix(np.arange(1001, 1257, dtype=_U) * _U(0xD1342543DE82EF95))
 
 
 def _power(which: str, n: int) -> np.ndarray:
@@ -60,6 +62,20 @@ def slices(column: pa.ChunkedArray | pa.Array, most: int = CHUNK) -> Iterator[tu
         lo = hi
 
 
+def pieces(column: pa.ChunkedArray | pa.Array, overlap: int, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, bytes, row offsets, place of the bytes in their text): as slices, but a longer text comes in pieces.
+
+    A piece has the ``overlap`` bytes after it as well, so that each string of overlap + 1 bytes is whole in exactly one piece.
+    """
+    for lo, hi, data, offs in slices(column, most):
+        if hi - lo > 1 or len(data) <= 2 * most:
+            yield lo, data, offs, 0
+            continue
+        for at in range(0, max(1, len(data) - overlap), most):
+            part = data[at : at + most + overlap]
+            yield lo, part, np.array([0, len(part)]), at
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of each run of non-space bytes; a run never crosses rows."""
     n = len(data)
@@ -85,6 +101,38 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((total[ends] - total[starts]) * _power("down", n + 1)[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def _raw_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, _U)
+    np.cumsum(_BYTE_LOW[data] * _power("up", len(data)), dtype=_U, out=total[1:])
+    return (total[ends] - total[starts]) * _power("down", len(data) + 1)[starts]
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray, most: int = 4 * CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word, as words and span_hashes give them, a part of the bytes at a time."""
+    rows, raws, sizes, open_ = [], [], [], None
+    for at in range(0, len(data), most):
+        part = data[at : at + most]
+        edges = np.unique(np.clip(offs, at, at + len(part))) - at
+        starts, ends, _ = words(part, edges)
+        raw, size = _raw_hashes(part, starts, ends), ends - starts
+        row = np.searchsorted(offs, at + starts, "right") - 1
+        if open_ is not None and len(starts) and starts[0] == 0 and row[0] == rows[-1][-1]:  # a word that the cut went through
+            whole = int(raws[-1][-1]) + int(raw[0]) * pow(_BASE, int(sizes[-1][-1]), 1 << 64)
+            raws[-1][-1] = _U(whole & ((1 << 64) - 1))
+            sizes[-1][-1] += size[0]
+            row, raw, size = row[1:], raw[1:], size[1:]
+            if not len(row) and ends[0] == len(part):
+                continue  # the whole part is inside one word
+        if len(row):
+            rows.append(row)
+            raws.append(raw)
+            sizes.append(size)
+        open_ = True if rows and len(ends) and ends[-1] == len(part) else None
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    return np.concatenate(rows), mix(np.concatenate(raws) + np.concatenate(sizes).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 def counts_by_row(row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, minlength=n).astype(np.int64)
 

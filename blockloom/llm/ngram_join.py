@@ -97,8 +97,8 @@ class Bands:
 def sets_of(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature) of distinct shingles in order, features of each row, fingerprint of each row's set."""
     n = len(offs) - 1
-    starts, ends, row = _text.words(data, offs)
-    row, h = _text.distinct(*_text.shingles(_text.span_hashes(data, starts, ends), row, n, size))
+    row, h = _text.word_hashes(data, offs)
+    row, h = _text.distinct(*_text.shingles(h, row, n, size))
     counts = _text.counts_by_row(row, n)
     total = np.zeros(n, _U)
     np.add.at(total, row, _text.mix(h ^ _U(0x5851F42D4C957F2D)))

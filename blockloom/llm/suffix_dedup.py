@@ -5,16 +5,18 @@ Every byte covered by a LENGTH-byte string that also starts earlier (smaller doc
 1. Each LENGTH-byte window belongs to its smallest GRAM-byte hash, its anchor; equal windows have equal anchors at the same
    place. So suffixes fall into buckets by anchor, and a bucket with one member holds no repeat. A text of n
    bytes has about n / 35 anchors, each with the run of window starts that belong to it (its segment).
-2. In a bucket, equal segments are one variant: all but the earliest are repeats as a whole. Only the earliest
-   segment of each variant takes part in what follows, and only in buckets of several variants.
-3. Segments of whole buckets are laid into blocks of bounded size, and one bucket at a time has its suffixes sorted: by
-   their first bytes, and where those tie, by ranks of the suffixes at positions of a difference cover, which are computed
-   once for the block. Neighbours in that order that agree in LENGTH bytes are repeats.
-4. Buckets of more than HOT variants are refined by the hash of the whole window before sorting, spread over all tasks.
-
-Rows: a null text is empty; empty and short texts keep all bytes. Rows that repeat a doc_id stand in the order of their
-texts; equal rows of one id count as repeats after the first. A null doc_id comes before all others. Extra columns don't
-matter; an empty table gives no rows.
+2. In a bucket, equal segments (128 bits of two independent hashes) are one variant, of which the earliest stays: first within
+   each SPAN of text, before anything is shuffled, then over all. So an anchor that every document has costs one record a
+   span and not one a document.
+3. The variants of buckets with several of them come back with their bytes, and one bucket at a time has its suffixes sorted,
+   in blocks of bounded size: by their first bytes, and where those tie, by ranks of the suffixes at positions of a
+   difference cover, which are computed once for the block. Neighbours in that order that agree in LENGTH bytes are repeats.
+4. A bucket larger than a block is dealt by the hash of whole windows into smaller buckets, which are sorted in the same way;
+   where one task couldn't hold it, before the shuffle. This changes where windows are sorted, not what is found.
+
+Rows: a null text is empty; empty and short texts keep all bytes; a long text is read in overlapping pieces. Rows that repeat
+a doc_id stand in the order of their texts; equal rows of one id count as repeats after the first. A null doc_id comes before
+all others. Extra columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._runtime import Scratch
+from ._runtime import Scratch, lean
 
 _U = np.uint64
 LENGTH = 100
@@ -39,20 +41,24 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Bytes of segments that are sorted together.
 BLOCK = 1 << 19
-#: Variants of a bucket beyond which it is refined by window before sorting.
-HOT = 2000
-#: Bytes of anchors or segments of one group, read by one task.
-GROUP_BYTES = 8 << 20
+#: Variants of a bucket that one task sorts (some 140 bytes each); the windows of larger ones are dealt to several.
+HOT = 20_000
+#: Bytes of anchors or segments of one group, read by one task, and of records looked at at a time.
+GROUP_BYTES, AT_ONCE = 4 << 20, 4 << 20
+#: Bytes of text in which equal segments are made one before the shuffle.
+SPAN = 8 << 20
+#: Bytes of a text that are read at a time.
+PIECE = 1 << 19
 
 _ANCHOR = np.dtype([("a", "<i8"), ("s", "<i8"), ("d", "<i8"), ("o", "<u4"), ("l", "<u2"), ("r", "<u2")])
-_WINDOW = np.dtype([("x", "<i8"), ("y", "<i8"), ("d", "<i8"), ("o", "<u4")])
+_RANGE = np.dtype([("d", "<i8"), ("lo", "<i8"), ("hi", "<i8")])
 _in_cover = np.isin(np.arange(PERIOD), COVER)
 _DELTA = np.array([[next(d for d in range(PERIOD) if _in_cover[(i + d) % PERIOD] and _in_cover[(j + d) % PERIOD]) for j in range(PERIOD)] for i in range(PERIOD)])
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
+def _prefix(data: np.ndarray, values: np.ndarray = _text._BYTE) -> np.ndarray:
     p = np.zeros(len(data) + 1, _U)
-    np.cumsum(_text._BYTE[data] * _text._power("up", len(data)), dtype=_U, out=p[1:])
+    np.cumsum(values[data] * _text._power("up", len(data)), dtype=_U, out=p[1:])
     return p
 
 
@@ -87,6 +93,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     last = at[np.append(np.flatnonzero(head)[1:], len(at)) - 1]
     o = owner[first]
     end = last + length
+    p = _prefix(data, _text._OTHER)  # not the hash that anchors are chosen by
     s = _text.mix((p[end] - p[first]) * down[first] + _text.mix(((end - first).astype(_U) << _U(32)) + (o - first).astype(_U)))
     return np.searchsorted(offs, first, "right") - 1, h[o].view(np.int64), s.view(np.int64), o, first, last
 
@@ -168,59 +175,117 @@ def equal_classes(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, leng
     return order, np.cumsum(np.r_[True, ~same]) - 1 if len(order) else order
 
 
-def _packed(p: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+def _earliest(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records in the order of anchor, segment and place, and which of them are the first of their variant."""
+    rec = rec[np.lexsort((rec["o"], rec["d"], rec["s"], rec["a"]))]
+    new = np.ones(len(rec), bool)
+    new[1:] = (rec["a"][1:] != rec["a"][:-1]) | (rec["s"][1:] != rec["s"][:-1])
+    return rec, new
+
+
+def _covered(rec: np.ndarray, length: int) -> np.ndarray:
+    """Ranges of the windows of records, one for segments that touch."""
+    lo = rec["o"].astype(np.int64) - rec["l"]
+    hi = rec["o"].astype(np.int64) - rec["r"] + length
+    order = np.lexsort((lo, rec["d"]))
+    d, lo, hi = rec["d"][order], lo[order], hi[order]
+    head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (lo[1:] > hi[:-1])][: len(d)])
+    out = np.zeros(len(head), _RANGE)
+    out["d"], out["lo"] = d[head], lo[head]
+    out["hi"] = np.maximum.reduceat(hi, head) if len(head) else hi
+    return out
+
+
+def _dealt(p: np.ndarray, records: np.ndarray, ranges: np.ndarray, groups: int) -> pa.RecordBatch:
+    """One row for each group that gets records, and one for the ranges."""
     order = np.argsort(p, kind="stable")
     p, records = p[order], records[order]
-    cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1]][: len(p)])
     ends = np.append(cut[1:], len(p))[: len(cut)]
-    return pa.RecordBatch.from_arrays([pa.array(p[cut].astype(np.int32)), pa.array([records[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())], names=["p", "records"])
+    home = [int(ranges["d"][0]) % groups] if len(ranges) else []
+    return pa.RecordBatch.from_arrays(
+        [pa.array([*p[cut].tolist(), *home], pa.int32()), pa.array([*(records[i:j].tobytes() for i, j in zip(cut, ends, strict=True)), *(None for _ in home)], pa.binary()), pa.array([*(None for _ in cut), *(ranges.tobytes() for _ in home)], pa.binary())],
+        names=["p", "records", "ranges"],
+    )
 
 
 def _ranges(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
     return pa.table({"doc": pa.array(doc, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
 
+def _blobs(column: pa.ChunkedArray, kind: np.dtype) -> list[np.ndarray]:
+    """What the values hold, without copies."""
+    return [np.frombuffer(x.as_buffer(), kind) for c in column.chunks for x in c if x.is_valid]
+
+
 def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc, lo, hi): byte ranges that are covered by repeats, of ``docs`` (doc long, text) with one row for each doc."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(least, -(-size // GROUP_BYTES))  # about a byte of anchors for each byte of text
+    deal = lambda key, n: ((_text.mix(key.view(_U)) >> _U(32)) * _U(n)) >> _U(32)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_bytes = [], 0
+
+        def out() -> pa.RecordBatch:
+            rec, new = _earliest(np.concatenate(held))
+            return _dealt(deal(rec["a"][new], groups), rec[new], _covered(rec[~new], length), groups)
+
         for b in batches:
             ids = b.column("doc").to_numpy()
-            for lo, _, data, offs in _text.slices(b.column("text")):
+            for lo, data, offs, at in _text.pieces(b.column("text"), length - 1, PIECE):
                 row, a, s, o, first, last = anchors(data, offs, length, gram)
                 rec = np.zeros(len(row), _ANCHOR)
-                rec["a"], rec["s"], rec["d"], rec["o"], rec["l"], rec["r"] = a, s, ids[lo + row], o - offs[row], o - first, o - last
-                yield _packed(((_text.mix(a.view(_U)) >> _U(32)) * _U(groups)) >> _U(32), rec)
+                rec["a"], rec["s"], rec["d"], rec["o"], rec["l"], rec["r"] = a, s, ids[lo + row], at + o - offs[row], o - first, o - last
+                held.append(rec)
+                held_bytes += len(data)
+                if held_bytes >= SPAN:
+                    yield out()
+                    held, held_bytes = [], 0
+                    lean()
+        if held:
+            yield out()
+            held.clear()
+            lean()
 
     def buckets(table: pa.Table) -> pa.Table:
-        rec = np.frombuffer(b"".join(table.column("records").to_pylist()), _ANCHOR)
-        a = np.sort(rec["a"])
-        twice = np.unique(a[1:][a[1:] == a[:-1]])
-        at = np.minimum(np.searchsorted(twice, rec["a"]), max(0, len(twice) - 1))
-        rec = rec[twice[at] == rec["a"]] if len(twice) else rec[:0]
-        rec = rec[np.lexsort((rec["o"], rec["d"], rec["s"], rec["a"]))]
-        new_a = np.r_[True, rec["a"][1:] != rec["a"][:-1]][: len(rec)]
-        new_s = new_a | np.r_[True, rec["s"][1:] != rec["s"][:-1]][: len(rec)]
-        variants = np.bincount(np.cumsum(new_a) - 1, new_s) if len(rec) else np.zeros(0)
-        several = variants[np.cumsum(new_a) - 1] if len(rec) else variants
-        keep = ~new_s | (several > 1)
-        r, ask, many = rec[keep], new_s[keep], several[keep]
-        lo = r["o"].astype(np.int64) - r["l"]
-        return pa.table({"doc": r["d"], "lo": lo, "hi": r["o"].astype(np.int64) - r["r"] + length, "anchor": pa.array(r["a"].astype(np.int64), mask=~ask), "off": r["l"].astype(np.int32), "hot": many > hot})
+        blobs, outs = _blobs(table.column("records"), _ANCHOR), []
+        for r in _blobs(table.column("ranges"), _RANGE):
+            none = pa.nulls(len(r), pa.int64())
+            outs.append(pa.table({"doc": r["d"], "lo": r["lo"], "hi": r["hi"], "anchor": none, "off": np.zeros(len(r), np.int32), "hot": np.zeros(len(r), bool)}))
+        times = max(1, -(-sum(x.nbytes for x in blobs) // AT_ONCE))
+        for k in range(times):  # buckets by a part of their anchors at a time
+            of = (x[_text.mix(x["a"].view(_U)) % _U(times) == _U(k)] for x in blobs)
+            rec, new_s = _earliest(np.concatenate(list(of)) if blobs else np.zeros(0, _ANCHOR))
+            if not len(rec):
+                continue
+            which = np.cumsum(np.r_[True, rec["a"][1:] != rec["a"][:-1]]) - 1
+            several = np.bincount(which, new_s)[which]
+            gone, ask = ~new_s, new_s & (several > 1)
+            ranges, r = _covered(rec[gone], length), rec[ask]
+            lo = r["o"].astype(np.int64) - r["l"]
+            outs.append(pa.table({
+                "doc": np.r_[ranges["d"], r["d"]], "lo": np.r_[ranges["lo"], lo], "hi": np.r_[ranges["hi"], r["o"].astype(np.int64) - r["r"] + length],
+                "anchor": pa.array(np.r_[np.zeros(len(ranges), np.int64), r["a"]], mask=np.arange(len(ranges) + len(r)) < len(ranges)),
+                "off": np.r_[np.zeros(len(ranges), np.int32), r["l"].astype(np.int32)], "hot": np.r_[np.zeros(len(ranges), bool), several[ask] > hot],
+            }))
+            del rec, new_s, which, several
+        lean()
+        empty = pa.table({"doc": pa.array([], pa.int64()), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64()), "anchor": pa.array([], pa.int64()), "off": pa.array([], pa.int32()), "hot": pa.array([], pa.bool_())})
+        return pa.concat_tables([empty, *outs])
 
     schema = "doc long, lo long, hi long, anchor long, off int, hot boolean"
-    found = scratch.keep(docs.mapInArrow(find, "p int, records binary").groupBy("p").applyInArrow(buckets, schema))
+    found = scratch.keep(docs.mapInArrow(find, "p int, records binary, ranges binary").groupBy("p").applyInArrow(buckets, schema))
     asked = found.filter("anchor is not null")
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "anchor", "off", "hot")).alias("asked"))
-    n_asked = asked.agg(F.sum(F.col("hi") - F.col("lo"))).first()[0] or 0
+    n_asked = asked.agg(F.sum((F.col("hi") - F.col("lo")) * F.when(F.col("hot"), 27).otherwise(1))).first()[0] or 0
     parts = max(least, -(-n_asked // (GROUP_BYTES // 2)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments as rows; windows of hot buckets as packed records, the earliest of each kind in the slice."""
+        """Segments with their bytes; of buckets that are dealt, each window by itself, named by its hash."""
+        names = ["p", "bucket", "doc", "lo", "off", "bytes"]
         for b in batches:
             ids = b.column("doc").to_numpy()
             asks = b.column("asked")
@@ -231,66 +296,98 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
             for first, end, data, offs in _text.slices(b.column("text")):
                 mine = (of >= first) & (of < end)
                 base = offs[np.where(mine, of - first, 0)]
-                plain = np.flatnonzero(mine & ~is_hot)
-                blob = data.tobytes()
-                if len(plain):
-                    yield pa.RecordBatch.from_arrays([pa.array((((_text.mix(anchor[plain].view(_U)) >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int32)), pa.array(anchor[plain]), pa.array(ids[of[plain]]), pa.array(lo[plain]), pa.array(off[plain].astype(np.int32)), pa.array([blob[base[i] + lo[i] : base[i] + hi[i]] for i in plain], pa.binary())], names=["p", "anchor", "doc", "lo", "off", "bytes"])
-                some = np.flatnonzero(mine & is_hot)
-                if len(some):
-                    p = _prefix(data)
-                    down = _text._power("down", len(data) + 1)
-                    count = hi[some] - lo[some] - length + 1
-                    start = np.repeat(lo[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    who = np.repeat(of[some], count)
-                    x = start + np.repeat(base[some], count)
-                    h = (p[x + length] - p[x]) * down[x]
-                    rec = np.zeros(len(x), _WINDOW)
-                    rec["x"], rec["y"], rec["d"], rec["o"] = _text.mix(h).view(np.int64), _text.mix(h + _text.mix(np.repeat(anchor[some].view(_U), count))).view(np.int64), ids[who], start
-                    rec = rec[np.lexsort((rec["o"], rec["d"], rec["x"]))]
-                    packed = _packed(((_text.mix(rec["x"].view(_U)) >> _U(32)) * _U(parts)) >> _U(32), rec)
-                    none = pa.nulls(packed.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([packed.column(0), none, none, none, pa.nulls(packed.num_rows, pa.int32()), packed.column(1)], names=["p", "anchor", "doc", "lo", "off", "bytes"])
-
-    pieces = docs.join(wanted, "doc").mapInArrow(cut, "p int, anchor long, doc long, lo long, off int, bytes binary")
+                view = memoryview(data)
+                for some in _runs(np.flatnonzero(mine & ~is_hot), hi - lo):
+                    yield pa.RecordBatch.from_arrays([pa.array(deal(anchor[some], parts).astype(np.int32)), pa.array(anchor[some]), pa.array(ids[of[some]]), pa.array(lo[some]), pa.array(off[some].astype(np.int32)), pa.array([bytes(view[base[i] + lo[i] : base[i] + hi[i]]) for i in some], pa.binary())], names=names)
+                for some in _runs(np.flatnonzero(mine & is_hot), (hi - lo) * length):
+                    text, starts, which = _windows([data[base[i] + lo[i] : base[i] + hi[i]] for i in some], length)
+                    key = _window_hashes(text, starts, anchor[some][which], length)
+                    place = lo[some][which] + starts - np.r_[0, np.cumsum((hi - lo)[some])[:-1]][which]
+                    doc = ids[of[some]][which]
+                    blob = text.tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array(deal(key, parts).astype(np.int32)), pa.array(key), pa.array(doc), pa.array(place), pa.array(np.zeros(len(key), np.int32)), pa.array([blob[i : i + length] for i in starts], pa.binary())], names=names)
+
+    pieces = docs.join(wanted, "doc").mapInArrow(cut, "p int, bucket long, doc long, lo long, off int, bytes binary")
 
     def sort_buckets(table: pa.Table) -> pa.Table:
         outs = []
-        hot_rows = table.filter(pa.compute.is_null(table.column("anchor")))
-        if hot_rows.num_rows:
-            rec = np.frombuffer(b"".join(hot_rows.column("bytes").to_pylist()), _WINDOW)
-            rec = rec[np.lexsort((rec["o"], rec["d"], rec["y"], rec["x"]))]
-            later = np.zeros(len(rec), bool)
-            later[1:] = (rec["x"][1:] == rec["x"][:-1]) & (rec["y"][1:] == rec["y"][:-1])
-            rec = rec[later]
-            rec = rec[np.lexsort((rec["o"], rec["d"]))]
-            o = rec["o"].astype(np.int64)
-            head = np.r_[True, (rec["d"][1:] != rec["d"][:-1]) | (o[1:] != o[:-1] + 1)][: len(rec)]
-            s = np.flatnonzero(head)
-            e = np.append(s[1:], len(rec))[: len(s)] - 1
-            outs.append(_ranges(rec["d"][s], o[s], o[e] + length))
-        table = table.filter(pa.compute.is_valid(table.column("anchor"))).sort_by([("anchor", "ascending"), ("doc", "ascending"), ("lo", "ascending")])
-        if table.num_rows:
-            anchor, doc, lo, off = (table.column(c).to_numpy() for c in ("anchor", "doc", "lo", "off"))
-            segs = table.column("bytes").to_pylist()
-            sizes = np.array([len(s) for s in segs])
-            new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            ends = np.append(new[1:], len(anchor))
-            i = 0
-            while i < len(new):
-                j, total = i, 0
-                while j < len(new) and (j == i or total < BLOCK):
-                    total += int(sizes[new[j] : ends[j]].sum())
-                    j += 1
-                s, e = new[i], ends[j - 1]
-                outs.append(_block(anchor[s:e], doc[s:e], lo[s:e], off[s:e], segs[s:e], sizes[s:e], length))
-                i = j
-        return pa.concat_tables(outs) if outs else _ranges(*[np.zeros(0, np.int64)] * 3)
+        order = np.lexsort((table.column("lo").to_numpy(), table.column("doc").to_numpy(), table.column("bucket").to_numpy()))
+        bucket, doc, lo, off = (table.column(c).to_numpy()[order] for c in ("bucket", "doc", "lo", "off"))
+        raw = table.column("bytes").combine_chunks()
+        at, body = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1], np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        begin, sizes = at[:-1][order], np.diff(at)[order]
+        segs = lambda s: [body[begin[i] : begin[i] + sizes[i]] for i in s]
+        new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+        ends = np.append(new[1:], len(bucket))[: len(new)]
+        weight = np.add.reduceat(sizes, new) if len(new) else new
+        i = 0
+        while i < len(new):
+            j, total = i, 0
+            while j < len(new) and (j == i or total + weight[j] <= BLOCK):
+                total += int(weight[j])
+                j += 1
+            s = np.arange(new[i], ends[j - 1])
+            if total <= BLOCK:
+                outs.append(_block(bucket[s], doc[s], lo[s], off[s], segs(s), sizes[s], length))
+            else:
+                outs.append(_large(doc[s], lo[s], segs(s), sizes[s], length))
+            i = j
+        lean()
+        return pa.concat_tables([_ranges(*[np.zeros(0, np.int64)] * 3), *outs])
 
     ranges = scratch.keep(pieces.groupBy("p").applyInArrow(sort_buckets, "doc long, lo long, hi long"))
     return found.filter("anchor is null").select("doc", "lo", "hi").unionByName(ranges)
 
 
-def _block(anchor: np.ndarray, doc: np.ndarray, lo: np.ndarray, off: np.ndarray, segs: list[bytes], sizes: np.ndarray, length: int) -> pa.Table:
+def _runs(which: np.ndarray, weight: np.ndarray) -> Iterator[np.ndarray]:
+    """``which`` in runs of about AT_ONCE bytes."""
+    part = np.cumsum(weight[which]) // AT_ONCE
+    for s in np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)]):
+        yield which[s : np.searchsorted(part, part[s], "right")]
+
+
+def _windows(segs: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segments in a row, start of each window, segment of each window)."""
+    sizes = np.array([len(x) for x in segs])
+    count = sizes - length + 1
+    which = np.repeat(np.arange(len(segs)), count)
+    starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + (np.cumsum(sizes) - sizes)[which]
+    return np.concatenate(segs), starts, which
+
+
+def _window_hashes(text: np.ndarray, starts: np.ndarray, salt: np.ndarray, length: int) -> np.ndarray:
+    p = _prefix(text)
+    h = (p[starts + length] - p[starts]) * _text._power("down", len(text) + 1)[starts]
+    return _text.mix(h + _text.mix(salt.view(_U))).view(np.int64)
+
+
+def _large(doc: np.ndarray, lo: np.ndarray, segs: list[np.ndarray], sizes: np.ndarray, length: int) -> pa.Table:
+    """Repeats of one bucket of more than a block: its windows dealt by hash, those of a hash sorted as a bucket of their own."""
+    key, place, of, part = [], [], [], max(1, BLOCK // max(1, int(sizes.max())))
+    for s in range(0, len(segs), part):
+        text, starts, which = _windows(segs[s : s + part], length)
+        key.append(_window_hashes(text, starts, np.zeros(len(starts), np.int64), length))
+        of.append((which + s).astype(np.int32))
+        place.append((starts - (np.cumsum(sizes[s : s + part]) - sizes[s : s + part])[which]).astype(np.int32))
+    key, place, of = np.concatenate(key), np.concatenate(place), np.concatenate(of)
+    order = np.argsort(key, kind="stable")  # by doc and place within a hash
+    key = key[order]
+    same = key[1:] == key[:-1]
+    order, key = order[np.r_[False, same] | np.r_[same, False]], key[np.r_[False, same] | np.r_[same, False]]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    ends, outs, i = np.append(new[1:], len(key))[: len(new)], [], 0
+    while i < len(new):
+        j = max(i + 1, int(np.searchsorted(ends, new[i] + BLOCK // length, "right")))
+        s = order[new[i] : ends[j - 1]]
+        for t in range(0, len(s), 8 * BLOCK // length) if j == i + 1 else (0,):  # equal windows without end: each part after the first one's first
+            u = s if j > i + 1 else s[t : t + 8 * BLOCK // length] if not t else np.r_[s[:1], s[t : t + 8 * BLOCK // length]]
+            k = np.repeat(key[new[i]], len(u)) if j == i + 1 else key[new[i] : ends[j - 1]]
+            outs.append(_block(k, doc[of[u]], lo[of[u]] + place[u], np.zeros(len(u), np.int64), [segs[of[x]][place[x] : place[x] + length] for x in u], np.full(len(u), length), length))
+        i = j
+    return pa.concat_tables(outs) if outs else _ranges(*[np.zeros(0, np.int64)] * 3)
+
+
+def _block(bucket: np.ndarray, doc: np.ndarray, lo: np.ndarray, off: np.ndarray, segs: list[np.ndarray], sizes: np.ndarray, length: int) -> pa.Table:
     """Repeats among the segments of whole buckets, which stand in the order of doc and place."""
     # Anchors are aligned to the cover's period, so that suffixes of equal place meet the same samples.
     place, at = np.zeros(len(segs), np.int64), 0
@@ -299,11 +396,11 @@ def _block(anchor: np.ndarray, doc: np.ndarray, lo: np.ndarray, off: np.ndarray,
         at = int(place[i]) + int(n)
     text = np.zeros(at + 2 * length + 64, np.uint8)
     for i, s in enumerate(segs):
-        text[place[i] : place[i] + sizes[i]] = np.frombuffer(s, np.uint8)
+        text[place[i] : place[i] + sizes[i]] = s
     count = sizes - length + 1
     which = np.repeat(np.arange(len(segs)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    order, cls = equal_classes(text, place[which] + start, anchor[which], length)
+    order, cls = equal_classes(text, place[which] + start, bucket[which], length)
     earliest = np.full(int(cls[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(earliest, cls, order)  # windows are numbered by doc and place
     mark = np.zeros(len(which), bool)

@@ -5,9 +5,10 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from blockloom.llm import ngram_join, suffix_dedup
+from blockloom.llm import _text, ngram_join, suffix_dedup
 from tests.llm.conftest import DOC, clashing, corpus
 
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -161,16 +162,42 @@ def test_odd_ids_and_empty_tables(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in out.collect()) == [(0, 149), (5, 149), (5, 150), (5, 150)]
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_suffix_dedup(docs, hot):
+@pytest.mark.parametrize("hot, block, span", [(20_000, 1 << 19, 8 << 20), (1, 1 << 19, 8 << 20), (20_000, 300, 500), (1, 300, 1)])
+def test_suffix_dedup(docs, monkeypatch, hot, block, span):
+    """Whole; buckets of several variants dealt by window before the shuffle; blocks of two segments, spans of a text."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "SPAN", span)
     rows = sorted(corpus())
-    out = suffix_dedup.remove_repeats(clashing(docs), hot=hot)  # 1: every bucket of several variants is refined by window
+    out = suffix_dedup.remove_repeats(clashing(docs), hot=hot)
     got = {r.doc_id: (r._n_bytes, r._n_removed, r._n_spans, hashlib.sha256(bytes(r._kept)).hexdigest()) for r in out.collect()}
     assert [got[i] for i, _ in rows] == removed(rows, 100)
     text = {r.doc_id: r._kept for r in suffix_dedup.remove_repeats(docs, as_text=True).select("doc_id", "_kept").collect()}
     assert all("�" not in t for t in text.values())
 
 
+def test_long_texts_come_in_pieces(spark, monkeypatch):
+    """Texts many times longer than what is read at a time; one passage in every text."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh \n"), n))
+    passage = letters(900)
+    rows = [(i, letters(int(rng.integers(0, 9000))) + passage + letters(2000)) for i in range(12)] + [(20, "z" * 5000), (21, passage * 3), (22, None)]
+    out = suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()}
+    assert [got[i] for i, _ in rows] == removed(rows, 100)
+
+
+def test_words_are_hashed_in_parts():
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        texts = ["".join(rng.choice(list("ab C\n"), int(rng.integers(0, 40)))) for _ in range(5)]
+        for _, _, data, offs in _text.slices(pa.array(texts)):
+            starts, ends, row = _text.words(data, offs)
+            for most in (1, 3, 7, 1000):
+                rows, h = _text.word_hashes(data, offs, most)
+                assert rows.tolist() == row.tolist() and h.tolist() == _text.span_hashes(data, starts, ends).tolist()
+
+
 def test_suffix_order_is_lexicographic():
     rng = np.random.default_rng(1)
     for letters in (1, 2, 4):
