@@ -11,8 +11,9 @@ for each band by the least number of signatures and expected candidates.
 A signature of empty cells would say nothing and isn't made. Similar sets still share one unless both have many partitions
 with signatures of empty cells; such sets are signed again with other partitions.
 
-The classes of a signature's bucket are candidates of each other. Buckets with the same smallest class make one family, so
-that classes which share many buckets meet once and not in each of them. A family is compared on whole sets, in blocks of
+The classes of a signature's bucket are candidates of each other. Buckets with the same smallest class make one family, and a
+family whose smallest class stands in another one joins it, so that classes which share many buckets meet once and not in
+each of them. A family is compared on whole sets, in blocks of
 bounded size; a pair that meets in several families counts in the first. A block gives a row for a class, not for a
 pair: its number of links, and a class that it is held together with.
 
@@ -44,7 +45,7 @@ GROUP_BYTES = 6 << 20
 #: Rows up to this many are looked up by broadcast (at most some 100 bytes each); more by shuffle.
 BROADCAST_ROWS = 200_000
 #: Classes, and bytes of their sets, of one side of a block.
-BLOCK, BLOCK_BYTES = 1024, 3 << 20
+BLOCK, BLOCK_BYTES = 1024, 6 << 20
 #: In the choice of partitions: the share of features that unrelated texts may have in common, and the signatures a candidate costs.
 COMMON, CANDIDATE = 0.3, 100
 #: Times that sets with many empty cells are signed, and the most of a band's sets that may need the next time.
@@ -266,7 +267,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
 
     signed = docs.select("_row", "text").join(small(copied), "_row", "left_anti").mapInArrow(sign, "p int, sigs binary, nodes binary, times binary")
     others = scratch.keep(signed.groupBy("p").applyInArrow(buckets, "family long, node long").distinct())
-    members = others.unionByName(others.select("family", F.col("family").alias("node")).distinct())
+    # A family whose smallest class stands in another family joins the first of those: near copies then meet in one.
+    first_of = scratch.keep(others.join(others.select(F.col("family").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("family").alias("first")))
+    whole = others.unionByName(others.select("family", F.col("family").alias("node")).distinct())
+    whole = whole.join(small(first_of.withColumnRenamed("node", "family")), "family", "left")
+    members = scratch.keep(whole.select(F.coalesce("first", "family").alias("family"), "node").distinct())
 
     # Families too large for one block are cut by hash; each two of their parts make a block.
     sized = scratch.keep(members.join(classes.select("node", "n"), "node"))
@@ -333,7 +338,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
     named = classes.join(held, "node", "left").withColumn("component", F.coalesce("component", "node")).join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     least_id = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = scratch.keep(named.join(least_id, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    scratch.drop(copied, others, sized, large, asked, found, classes)
+    scratch.drop(copied, others, first_of, members, sized, large, asked, found, classes)
     # A class may hold a third of all rows: the adaptive plan cuts such a partition of this join.
     out = filled.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "n_links", "component_id")
     return out.unionByName(described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id")))
