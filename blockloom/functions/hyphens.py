@@ -81,12 +81,16 @@ def compounds(texts: Iterable[str]) -> set[str]:
 
 
 def _repaired(text: pd.Series, keep: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else repair(t, set(k) if k is not None else ()) for t, k in zip(text, keep, strict=True)])
+    return pd.Series([None if t is None else repair(t, set() if k is None else set(k)) for t, k in zip(text, keep, strict=True)], dtype=object)
+
+
+def _repaired_by_itself(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else repair(t, compounds([t])) for t in text], dtype=object)
 
 
 def repair_hyphenation(text: Column, keep: Column | None = None) -> Column:
-    """``keep``: array of the document's compounds (see :func:`compound_pairs`)."""
-    return F.pandas_udf(_repaired, "string")(text, keep if keep is not None else F.array().cast("array<string>"))
+    """``keep``: a column with the compounds of the document that the text is part of; without it, the text's own count."""
+    return F.pandas_udf(_repaired_by_itself, "string")(text) if keep is None else F.pandas_udf(_repaired, "string")(text, keep)
 
 
 def compound_pairs(text: Column) -> Column:

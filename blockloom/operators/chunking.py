@@ -373,6 +373,35 @@ def chunk(blocks: DataFrame, documents: DataFrame | None = None, options: ChunkO
     return full.groupBy("document_id").applyInArrow(one, out_schema)
 
 
+def chunk_rows(texts: DataFrame, read: Callable[[str], list[dict]], options: ChunkOptions | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks where a row holds a whole document: no shuffle. ``read`` gives the blocks of a text, and on the first of them its title and language, if known."""
+    options = options or ChunkOptions()
+    out_schema = StructType.fromDDL(S.CHUNKS)
+    arrow = to_arrow_schema(out_schema)
+
+    def rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            out: list[dict] = []
+            for i, text in zip(b.column(0), b.column(1), strict=True):
+                blocks = read(text.as_py() or "")
+                if blocks:
+                    out += fold(blocks, options, i.as_py(), blocks[0].get("_title"), blocks[0].get("_language") or lang.UNKNOWN)
+                if len(out) >= 4096:
+                    yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+                    out = []
+            yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+
+    return texts.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, out_schema)
+
+
+_PLAIN = {"type": S.PARAGRAPH, "page": 1, "page_end": 1, "level": None, "role": None, "rows": None, "spans": None}
+
+
+def line_blocks(text: str) -> list[dict]:
+    """What ``paragraphs`` makes of one text."""
+    return [{**_PLAIN, "pos": k, "text": t} for k, line in enumerate(text.split("\n")) if (t := line.strip(" "))]
+
+
 def paragraphs(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The smallest reader: a paragraph block for each line that isn't blank."""
     lines = texts.select(F.col(id_col).cast("string").alias("document_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "text"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.language import detect_language
+from ..functions.language import Detected, detect, detect_language
 
 LITTLE_TEXT, UNSURE_PAGE = 200, 0.6
 
@@ -22,27 +22,53 @@ def full_text(blocks: DataFrame) -> DataFrame:
     return said.select("document_id", F.array_join(F.col("t.text"), "\n\n").alias("text"))
 
 
-def language_votes(blocks: DataFrame) -> DataFrame:
-    """document_id, language: by length of text; unknown if less than half of the written text is in a known language.
+#: Languages that count as known, and scripts.
+_KNOWN, _SCRIPTS = ("ru", "uz", "mixed"), ("cyrillic", "latin", "mixed", "none")
 
-    Blocks with a role and footnotes don't vote. Ties go to what stands first.
+
+def _vote(blocks: Column) -> Column:
+    """struct<language, script, confidence> by length of text over an array of blocks in order; null if none is known.
+
+    Unknown if less than half of the written text is in a known language. Blocks with a role and footnotes don't vote.
+    Ties go to what stands first.
     """
-    lang, script, n = F.col("language.language"), F.col("language.script"), F.char_length("text").cast("long")
-    votes = blocks.filter((F.col("type") != S.FOOTNOTE) & F.col("role").isNull()).withColumns({"_l": lang, "_s": script, "_n": n, "_known": lang.isin("ru", "uz", "mixed")})
-    votes = votes.filter(F.col("_known") | (F.col("_s") != "none"))
-
-    def winner(rows: DataFrame, by: str, name: str) -> DataFrame:
-        sums = rows.groupBy("document_id", by).agg(F.sum("_n").alias("_w"), F.min(F.struct(~F.col("_known"), F.col("pos"))).alias("_p"))
-        w = Window.partitionBy("document_id").orderBy(F.desc("_w"), "_p")
-        return sums.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("document_id", F.col(by).alias(name), F.col("_w").alias(f"{name}_w"))
-
-    totals = votes.groupBy("document_id").agg(F.sum(F.when(F.col("_known"), F.col("_n")).otherwise(0)).alias("known"), F.sum("_n").alias("all"), F.max("_known").alias("any"))
-    known = votes.filter("_known")
-    full = totals.join(winner(known, "_l", "lang"), "document_id", "left").join(winner(known, "_s", "own"), "document_id", "left").join(winner(votes, "_s", "script"), "document_id", "left")
-    enough = F.col("known") >= 0.5 * F.col("all")
+    spoken, script = (lambda b: b["language"]["language"]), (lambda b: b["language"]["script"])
+    voters = F.filter(blocks, lambda b: (b["type"] != S.FOOTNOTE) & b["role"].isNull() & (F.coalesce(spoken(b).isin(*_KNOWN), F.lit(False)) | (F.coalesce(script(b), F.lit("none")) != "none")))
+    known = F.filter(voters, lambda b: spoken(b).isin(*_KNOWN))
+    weight = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda n, b: n + F.char_length(b["text"]))
+
+    def winner(of: Column, what, values: tuple[str, ...]) -> Column:
+        least = lambda v: F.coalesce(F.array_min(F.transform(F.filter(of, lambda b: what(b) == v), lambda b: F.struct((~F.coalesce(spoken(b).isin(*_KNOWN), F.lit(False))).alias("k"), b["pos"].alias("p")))), F.struct(F.lit(True).alias("k"), F.lit(1 << 30).alias("p")))
+        one = lambda v: F.struct((-weight(F.filter(of, lambda b: what(b) == v))).alias("w"), least(v).alias("p"), F.lit(v).alias("v"))
+        return F.array_min(F.array(*map(one, values)))
+
     made = lambda a, b, c: F.struct(a.alias("language"), b.alias("script"), c.cast("double").alias("confidence"))
-    voted = F.when(enough, made(F.col("lang"), F.col("own"), F.col("lang_w") / F.col("known"))).otherwise(made(F.lit("unknown"), F.col("script"), F.lit(0.0)))
-    return full.filter("any").select("document_id", voted.alias("language"))
+    lang, total = winner(known, spoken, _KNOWN), weight(known)
+    voted = F.when(total >= 0.5 * weight(voters), made(lang["v"], winner(known, script, _SCRIPTS)["v"], -lang["w"] / total)).otherwise(made(F.lit("unknown"), winner(voters, script, _SCRIPTS)["v"], F.lit(0.0)))
+    return F.when(F.size(known) > 0, voted)
+
+
+def summary(blocks: list[dict]) -> tuple[str | None, Detected]:
+    """(title, language) of one document's blocks: what ``assemble`` says of it."""
+    title = " ".join(b["text"] for b in blocks if b["title"]) or None
+    votes = [(Detected(**b["language"]), len(b["text"])) for b in blocks if b["type"] != S.FOOTNOTE and b["role"] is None]
+    known = [(x, n) for x, n in votes if x.language in _KNOWN]
+    if not known:
+        return title, detect("\n\n".join(b["text"] for b in blocks if b["text"]))
+
+    def most(of: list, what: str) -> tuple[str, int]:
+        sums: dict[str, int] = {}
+        for x, n in of:
+            sums[getattr(x, what)] = sums.get(getattr(x, what), 0) + n
+        return max(sums.items(), key=lambda kv: kv[1])
+
+    written = [(x, n) for x, n in votes if x.language in _KNOWN or x.script != "none"]
+    total = sum(n for _, n in known)
+    if total < 0.5 * sum(n for _, n in written):
+        written.sort(key=lambda v: v[0].language not in _KNOWN)
+        return title, Detected("unknown", most(written, "script")[0], 0.0)
+    language, n = most(known, "language")
+    return title, Detected(language, most(known, "script")[0], n / total if total else 0.0)
 
 
 def assemble(blocks: DataFrame, pages: DataFrame | None = None, meta: DataFrame | None = None) -> DataFrame:
@@ -50,16 +76,21 @@ def assemble(blocks: DataFrame, pages: DataFrame | None = None, meta: DataFrame
 
     ``pages``: document_id, number, needs_ocr, confidence. ``meta``: document_id, source, title.
     """
-    votes = language_votes(blocks)
-    texts = full_text(blocks).join(votes, "document_id", "left")
-    texts = texts.withColumn("language", F.when(F.col("language").isNotNull(), F.col("language")).otherwise(detect_language(F.col("text"))))
-    heads = blocks.filter(F.col("type") == S.HEADING).groupBy("document_id", F.coalesce("heading_source", F.lit("unknown")).alias("_src")).count()
-    heads = heads.groupBy("document_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_src", "count")))).alias("heading_sources"))
-    stats = blocks.groupBy("document_id").agg(
-        F.sum(F.char_length("text")).alias("chars"), F.count(F.lit(1)).alias("blocks"), F.sort_array(F.collect_set(F.when(F.col("role") == "image", F.col("page")))).alias("pictures"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("title"), F.struct("pos", "text")))), lambda x: x["text"]), " ").alias("_title"),
+    # One row a document, its blocks in order; the passes that made them run once.
+    said = F.struct("pos", "type", "text", "page", "role", "language", "heading_source", "title")
+    docs = blocks.groupBy("document_id").agg(F.sort_array(F.collect_list(said)).alias("_b"))
+    own = F.col("_b")
+    docs = docs.withColumn("_text", F.array_join(F.transform(F.filter(own, lambda b: b["text"] != ""), lambda b: b["text"]), "\n\n")).withColumn("_voted", _vote(own))
+    # Only documents without a vote need their whole text looked at.
+    docs = docs.withColumn("_read", detect_language(F.when(F.col("_voted").isNull(), F.col("_text")).otherwise(F.lit(""))))
+    sources = F.transform(F.filter(own, lambda b: b["type"] == S.HEADING), lambda b: F.coalesce(b["heading_source"], F.lit("unknown")))
+    kinds = F.array_sort(F.array_distinct(sources))
+    counted = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(sources, lambda x: x == k)).cast("long")))
+    out = docs.select(
+        "document_id", F.coalesce("_voted", "_read").alias("language"), F.size(own).cast("long").alias("blocks"), F.aggregate(own, F.lit(0).cast("long"), lambda n, b: n + F.char_length(b["text"])).alias("chars"),
+        F.when(F.size(kinds) > 0, counted).alias("heading_sources"), F.array_sort(F.array_distinct(F.transform(F.filter(own, lambda b: b["role"] == "image"), lambda b: b["page"]))).alias("pictures"),
+        F.array_join(F.transform(F.filter(own, lambda b: b["title"]), lambda b: b["text"]), " ").alias("_title"),
     )
-    out = stats.join(texts, "document_id", "left").join(heads, "document_id", "left")
     if pages is not None:
         bad = lambda cond: F.sort_array(F.collect_set(F.when(cond, F.col("number"))))
         seen = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"), bad(F.col("needs_ocr")).alias("_scans"), bad(~F.col("needs_ocr") & (F.col("confidence") < UNSURE_PAGE)).alias("_unsure"), F.bool_or("needs_ocr").alias("needs_ocr"))

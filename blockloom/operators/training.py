@@ -19,16 +19,18 @@ def words(texts: DataFrame, label: str) -> DataFrame:
     return texts.select(F.col(label), F.explode(F.regexp_extract_all(t, F.lit(r"(\p{L}+(?:'\p{L}+)*'?)"), F.lit(1))).alias("word"))
 
 
-def ngrams(rows: DataFrame, label: str) -> DataFrame:
-    """(label, n, gram): characters of words with a space on each side; a lone space is no gram."""
+def ngrams(rows: DataFrame, label: str, *more: str) -> DataFrame:
+    """(label, n, gram, more): characters of words with a space on each side; a lone space is no gram."""
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     one = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.char_length(padded)), lambda i: i + n - 1 <= F.char_length(padded)), lambda i: F.struct(F.lit(n).alias("n"), F.substring(padded, i, n).alias("gram")))
     grams = F.filter(F.concat(*map(one, ORDERS)), lambda g: g["gram"] != " ")
-    return rows.select(label, F.explode(grams).alias("g")).select(label, "g.n", "g.gram")
+    return rows.select(label, *more, F.explode(grams).alias("g")).select(label, "g.n", "g.gram", *more)
 
 
 def counts(texts: DataFrame, label: str) -> DataFrame:
-    return ngrams(words(texts, label), label).groupBy(label, "n", "gram").count()
+    """(label, n, gram, count). A word is cut once, however often it occurs: its count goes to each of its grams."""
+    often = words(texts, label).groupBy(label, "word").agg(F.count(F.lit(1)).alias("_times"))
+    return ngrams(often, label, "_times").groupBy(label, "n", "gram").agg(F.sum("_times").alias("count"))
 
 
 def top_grams(counted: DataFrame, most: int = GRAMS) -> DataFrame:

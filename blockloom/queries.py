@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions import hyphens, language, normalize, numbering, scripts, sentences, tokens
-from .operators import chunking, documents, evaluation, layout, paths, structure, tables, training
-from .plans import blocks_to_chunks, chunk_texts
+from .operators import chunking, documents, evaluation, layout, paths, tables, training
+from .plans import chunk_html, chunk_texts, html_blocks, text_blocks
 from .sources import text as readers
 
 
@@ -45,19 +45,17 @@ def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = structure.build_blocks(readers.text_blocks(_docs(spark, sf_dir)), structure.StructureOptions(page_layout=False))
+    out = text_blocks(_docs(spark, sf_dir))
     return out.select("document_id", "pos", "type", "text", "level", "role", "heading_source", F.array_join("items", "\n").alias("items"), "language.*")
 
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = structure.build_blocks(readers.html_blocks(_read(spark, sf_dir, "pages")), structure.StructureOptions(page_layout=False))
-    out = blocks_to_chunks(blocks)
+    out = chunk_html(_read(spark, sf_dir, "pages"))
     return out.select("chunk_id", "document_id", "text", "language", F.array_join("heading_path", " / ").alias("heading_path"), "token_count")
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = structure.build_blocks(readers.html_blocks(_read(spark, sf_dir, "pages")), structure.StructureOptions(page_layout=False))
-    out = documents.assemble(blocks)
+    out = documents.assemble(html_blocks(_read(spark, sf_dir, "pages")))
     return out.select("document_id", "title", "language.*", F.to_json("heading_sources").alias("heading_sources"), "blocks", "chars", F.to_json("warnings").alias("warnings"))
 
 
@@ -98,8 +96,7 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", hyphens.repair_hyphenation(t, hyphens.compound_pairs(t)).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", hyphens.repair_hyphenation(F.col("text")).alias("text"))
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,24 +143,28 @@ def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- running state -----------------------------------------------------------------------------
 
-#: document, place, level (0: text), text; headings that open, close and skip levels.
-_OUTLINE = [("a", 0, 1, "A"), ("a", 1, 0, "t"), ("a", 2, 2, "B"), ("a", 3, 3, "C"), ("a", 4, 0, "t"), ("a", 5, 2, "D"), ("a", 6, 0, "t"), ("a", 7, 1, "E"), ("a", 8, 3, "F"), ("a", 9, 0, "t"), ("a", 10, 2, "G"), ("a", 11, 0, "t"), ("b", 0, 0, "t"), ("b", 1, 2, "H"), ("b", 2, 1, "I"), ("b", 3, 6, "J"), ("b", 4, 0, "t")]
-_SPOKEN = [("a", i, x) for i, x in enumerate(["unknown", "uz", "unknown", "unknown", "ru", "unknown"])] + [("b", 0, "unknown"), ("b", 1, "unknown")]
-_MARGINS = [("k", p) for p in (1, 2, 4, 9, 10, 11, 20)] + [("m", p) for p in (3, 5, 7, 30)]
+#: Levels that a speaker's turns open in a conversation: a request is a heading, a longer one below it a smaller one.
+_LONG_TURN = 200
 
 
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(_OUTLINE, "document_id string, pos int, level int, text string").withColumn("level", F.nullif("level", F.lit(0)))
-    return paths.heading_paths(df).select("document_id", "pos", F.array_join("path", "/").alias("path"))
+    """Conversations as documents: requests by their length are headings of three levels, answers stand below the open ones."""
+    n = F.char_length("text")
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", F.when(n < _LONG_TURN, 2).otherwise(3))
+    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("int").alias("pos"), level.cast("int").alias("level"), F.substring("text", 1, 20).alias("text"))
+    return paths.heading_paths(turns).select("document_id", "pos", F.array_join("path", "/").alias("path"))
 
 
 def neighbour_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.neighbour_languages(spark.createDataFrame(_SPOKEN, "document_id string, pos int, language string"))
+    """Each source as one document, its texts as blocks in the order of their ids."""
+    rows = _docs(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("document_id"), F.col("doc_id").alias("pos"), F.coalesce("lang", F.lit("unknown")).alias("language"))
+    return paths.neighbour_languages(rows)
 
 
 def running_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paths.islands(spark.createDataFrame(_MARGINS, "key string, page int"), ["key"], "page", layout.STEP, layout.RUN)
-    return out.select("key", "first", "last", "n")
+    """Lines that differ in digits only and come back in documents of near ids: runs as of running titles on near pages."""
+    rows = _lines(spark, sf_dir).select(layout.masked(F.col("line")).alias("key"), F.col("doc_id").alias("page")).filter("key <> ''").distinct()
+    return paths.islands(rows, ["key"], "page", layout.STEP, layout.RUN).select("key", "first", "last", "n")
 
 
 # ---- measures and training ---------------------------------------------------------------------
@@ -228,6 +229,14 @@ def _seen(name: str, text: str) -> str:
     return f"{name} AS (SELECT document_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM (SELECT doc_id::VARCHAR AS document_id, regexp_extract_all(lower({text}), '{evaluation.WORD}', 1) AS w FROM documents))"
 
 
+_WORD_LIST = r"unnest(regexp_extract_all(regexp_replace(lower(text), '[‘’`´′＇ʻʼʹ]', '\'\'', 'g'), '(\p{L}+(?:\'\'\p{L}+)*\'\'?)', 1))".replace("\\'", "'")
+_GRAMS = rf"""
+            WITH w AS (SELECT lang, ' ' || {_WORD_LIST} || ' ' AS p FROM documents WHERE lang IS NOT NULL),
+            d AS (SELECT lang, p, count(*) AS k FROM w GROUP BY 1, 2),
+            g AS (SELECT lang, n, p[i:i + n - 1] AS gram, k FROM (SELECT lang, p, k, n, unnest(range(1, length(p) - n + 2)) AS i FROM d, (VALUES (1), (2), (3), (4)) o(n))),
+            c AS (SELECT lang, n, gram, sum(k)::BIGINT AS times FROM g WHERE gram <> ' ' GROUP BY 1, 2, 3)"""
+
+
 def oracle_sql() -> dict[str, str]:
     levels = ", ".join(f"last_value(CASE WHEN level = {k} THEN pos END IGNORE NULLS) OVER w AS p{k}, last_value(CASE WHEN level = {k} THEN text END IGNORE NULLS) OVER w AS t{k}" for k in range(1, 7))
     above = lambda k: "-1" if k == 1 else f"greatest(-1, {', '.join(f'coalesce(p{j}, -1)' for j in range(1, k))})"
@@ -236,6 +245,10 @@ def oracle_sql() -> dict[str, str]:
     first_line = "split_part(coalesce(text, ''), chr(10), 1)"
     turned = "array_to_string(list_reverse(string_split(coalesce(text, ''), chr(10))), chr(10))"
     dec, dot, rom, bul, order = (p.replace("<L>", r"\p{L}").replace("<N>", r"[\p{L}\p{N}]").replace("<a>", r"\p{Ll}").replace("'", "''") for p in (numbering.DECIMAL, numbering.DECIMAL_DOT, numbering.ROMAN, numbering.BULLET, numbering.ORDERED))
+    _several = "t"
+    for c, latin in scripts._SEVERAL.items():
+        _several = f"replace({_several}, '{c}', '{latin.replace(chr(39), chr(39) * 2)}')"
+    _several = f"translate({_several}, '{''.join(scripts._SINGLE)}', '{''.join(scripts._SINGLE.values())}')"
     depth = lambda p: f"len(string_split(regexp_extract(t, '{p}', 1), '.'))"
     return {
         "chunk_totals": f"""
@@ -268,15 +281,17 @@ def oracle_sql() -> dict[str, str]:
             WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 3""",
         "quality_warnings": "SELECT doc_id, 'little_or_no_text' AS code, coalesce(length(text), 0)::BIGINT AS chars FROM documents WHERE coalesce(length(text), 0) < 200",
         "heading_paths": f"""
-            SELECT document_id, pos, concat_ws('/', {path}) AS path FROM (SELECT document_id, pos, {levels} FROM (SELECT document_id, pos::INT AS pos, nullif(level, 0) AS level, text FROM {_values(_OUTLINE, "document_id, pos, level, text")})
+            SELECT document_id, pos, concat_ws('/', {path}) AS path FROM (SELECT document_id, pos, {levels} FROM (SELECT conv_id::VARCHAR AS document_id, turn::INT AS pos, left(text, 20) AS text,
+            CASE WHEN role = 'system' THEN 1 WHEN role = 'user' THEN CASE WHEN length(text) < {_LONG_TURN} THEN 2 ELSE 3 END END AS level FROM conversations)
             WINDOW w AS (PARTITION BY document_id ORDER BY pos ROWS UNBOUNDED PRECEDING))""",
         "neighbour_languages": f"""
-            SELECT document_id, pos::INT AS pos, last_value(nullif(language, 'unknown') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-            first_value(nullif(language, 'unknown') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM {_values(_SPOKEN, "document_id, pos, language")}""",
+            SELECT document_id, pos, last_value(nullif(language, 'unknown') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+            first_value(nullif(language, 'unknown') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM (SELECT coalesce(source, '') AS document_id, doc_id AS pos, coalesce(lang, 'unknown') AS language FROM documents)""",
         "running_titles": f"""
-            WITH a AS (SELECT key, page, CASE WHEN page - lag(page) OVER (PARTITION BY key ORDER BY page) <= {layout.STEP} THEN 0 ELSE 1 END AS new FROM {_values(_MARGINS, "key, page")}),
+            WITH k AS (SELECT DISTINCT doc_id AS page, regexp_replace(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'), ' ')), '[0-9]+', '#', 'g') AS key FROM ({_LINES})),
+            a AS (SELECT key, page, CASE WHEN page - lag(page) OVER (PARTITION BY key ORDER BY page) <= {layout.STEP} THEN 0 ELSE 1 END AS new FROM k),
             b AS (SELECT key, page, sum(new) OVER (PARTITION BY key ORDER BY page) AS run FROM a)
-            SELECT key, min(page)::INT AS first, max(page)::INT AS last, count(*) AS n FROM b GROUP BY key, run HAVING count(*) >= {layout.RUN}""",
+            SELECT key, min(page) AS first, max(page) AS last, count(*) AS n FROM b WHERE key <> '' GROUP BY key, run HAVING count(*) >= {layout.RUN}""",
         "fidelity_multiset": f"""
             WITH {_seen("s", "coalesce(text, '')")}, {_seen("o", first_line)},
             a AS (SELECT document_id, word, count(*) AS n FROM s GROUP BY 1, 2), b AS (SELECT document_id, word, count(*) AS m FROM o GROUP BY 1, 2)
@@ -286,10 +301,20 @@ def oracle_sql() -> dict[str, str]:
             near AS (SELECT DISTINCT document_id, a, b FROM (SELECT document_id, word AS a, unnest([{reach}]) AS b FROM s WINDOW w AS (PARTITION BY document_id ORDER BY pos)) WHERE b IS NOT NULL),
             p AS (SELECT document_id, word AS a, lead(word) OVER (PARTITION BY document_id ORDER BY pos) AS b FROM o)
             SELECT p.document_id, count(*) AS pairs, count(near.a) AS near FROM p LEFT JOIN near ON near.document_id = p.document_id AND near.a = p.a AND near.b = p.b WHERE p.b IS NOT NULL GROUP BY 1""",
-        "ngram_counts": r"""
-            WITH w AS (SELECT lang, ' ' || unnest(regexp_extract_all(regexp_replace(lower(text), '[‘’`´′＇ʻʼʹ]', '''', 'g'), '(\p{L}+(?:''\p{L}+)*''?)', 1)) || ' ' AS p FROM documents WHERE lang IS NOT NULL),
-            d AS (SELECT lang, p, count(*) AS k FROM w GROUP BY 1, 2),
-            g AS (SELECT lang, n, p[i:i + n - 1] AS gram, k FROM (SELECT lang, p, k, n, unnest(range(1, length(p) - n + 2)) AS i FROM d, (VALUES (1), (2), (3), (4)) o(n))),
-            c AS (SELECT lang, n, gram, sum(k)::BIGINT AS times FROM g WHERE gram <> ' ' GROUP BY 1, 2, 3)
+        "ngram_counts": _GRAMS + """
             SELECT lang, n, gram, times, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, n ORDER BY times DESC, gram) AS rank FROM c) WHERE rank <= 50""",
+        "ngram_model": _GRAMS + f""",
+            t AS (SELECT n, gram FROM c GROUP BY n, gram ORDER BY sum(times) DESC, n, gram LIMIT {training.GRAMS}),
+            m AS (SELECT lang, n, sum(times) AS mass FROM c GROUP BY lang, n), k AS (SELECT n, count(*) AS kept FROM t GROUP BY n)
+            SELECT t.n::INT AS n, t.gram, m.lang, round(ln(coalesce(c.times, 0) + {training.ADD}) - ln(m.mass + {training.ADD} * (k.kept + 1)), 6) AS lp
+            FROM t JOIN m USING (n) JOIN k USING (n) LEFT JOIN c ON c.lang = m.lang AND c.n = t.n AND c.gram = t.gram""",
+        "lexicon_stems": rf"""
+            WITH w AS (SELECT lang, {_WORD_LIST} AS word FROM documents WHERE lang IS NOT NULL),
+            o AS (SELECT lang, word FROM w GROUP BY 1, 2 HAVING count(*) >= 5),
+            a AS (SELECT lang, CASE lang WHEN 'en' THEN regexp_replace(word, '^(.{{4,}}?)(?:ing|ed|s)$', '\1') WHEN 'de' THEN regexp_replace(word, '^(.{{4,}}?)(?:en|er|e)$', '\1') ELSE word END AS stem FROM o)
+            SELECT DISTINCT lang, CASE WHEN lang = 'de' THEN regexp_replace(stem, '^(.{{4,}}?)(?:en|er|e)$', '\1') ELSE stem END AS stem FROM a""",
+        "transliterated": rf"""
+            WITH a AS (SELECT doc_id, regexp_replace(lower(text), '(^|[^\p{{L}}])е', '\1ye', 'g') AS t FROM documents),
+            b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([{scripts._VOWELS}ъь])е', '\1ye', 'g'), '([{scripts._VOWELS}])ц', '\1ts', 'g') AS t FROM a)
+            SELECT doc_id, sha1({_several}) AS sha FROM (SELECT doc_id, regexp_replace(replace(replace(regexp_replace(t, 'yeц', 'yets', 'g'), 'ц', 's'), 'е', 'e'), 'ь', '', 'g') AS t FROM b)""",
     }

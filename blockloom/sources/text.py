@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -20,6 +21,11 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return parts.filter("trim(text) <> ''").select("document_id", "pos", "text", F.lit(1).alias("page"))
 
 
+def text_parts(text: str) -> list[dict]:
+    """What ``text_blocks`` makes of one text."""
+    return [{"pos": k, "text": t, "page": 1} for k, t in enumerate(re.split(r"\n(?:[ \t]*\n)+", text)) if t.strip(" ")]
+
+
 _SKIP, _BREAKS = ("script", "style", "nav", "footer", "head", "noscript"), ("p", "div", "article", "section", "br", "ul", "ol", "table", "header", "main", "body")
 
 

@@ -94,5 +94,5 @@ def test_columns_agree_with_python(spark):
         assert (tuple(r.n) if r.n else None) == numbering.numbering(r.t), r.t
         assert r.k == tokens.estimate(r.t) and r.s == scripts.script(r.t) and r.l == scripts.latin(r.t)
         assert set(r.p) == hyphens.compounds([r.t]) and tuple(r.c) == normalize.clean(r.t)
-        assert r.h == hyphens.repair(r.t) and r.x == sentences.split(r.t) and tuple(r.d)[:2] == language.detect(r.t)[:2]
+        assert r.h == hyphens.repair(r.t, hyphens.compounds([r.t])) and r.x == sentences.split(r.t) and tuple(r.d)[:2] == language.detect(r.t)[:2]
     assert {t: scripts.latin(t) for t in LATIN} == LATIN
