@@ -280,8 +280,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
     sized = scratch.keep(sized.join(small(large), "family", "left").fillna(1, ["parts"]))
     load = sized.agg(F.sum((F.col("n") * 8 + 64) * F.col("parts"))).first()[0] or 0
     groups_of_blocks = max(least, -(-load // GROUP_BYTES))
-    asked = sized.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("family", "parts"))).alias("families")).join(classes.select("node", "row", "copies"), "node")
-    asked = scratch.keep(asked.withColumnRenamed("row", "_row"))
+    asked = sized.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("family", "parts"))).alias("families"), F.max("n").alias("n")).join(classes.select("node", "row", "copies"), "node")
+    # A class of several families that hang together is sent once, where all of them fit into one block.
+    hung = connected_components(members.select(F.col("family").alias("a"), F.col("node").alias("b")), scratch)
+    asked = asked.join(hung, "node")
+    light = asked.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("features")).filter((F.col("m") <= BLOCK) & (F.col("features") * 8 <= BLOCK_BYTES)).select("component", F.pmod(F.xxhash64("component"), F.lit(groups_of_blocks)).cast("int").alias("home"))
+    asked = scratch.keep(asked.join(light, "component", "left").select(F.col("row").alias("_row"), "copies", "families", "home"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The whole set of each class for every block it stands in."""
@@ -292,7 +296,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
             lists = b.column("families")
             bounds, flat = lists.offsets.to_numpy(), lists.values
             every, parts = flat.field("family").to_numpy(), flat.field("parts").to_numpy(zero_copy_only=False)
-            copies = b.column("copies").to_numpy()
+            copies, homes = b.column("copies").to_numpy(), b.column("home").to_pylist()
             for first, _, data, offs in _text.slices(b.column("text")):
                 _, h, counts, node = sets_of(data, offs, size)
                 ends, out, held = np.cumsum(counts), [], 0
@@ -300,6 +304,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
                     own = slice(bounds[first + i], bounds[first + i + 1])
                     features, known = h[ends[i] - c : ends[i]].tobytes(), every[own].tobytes()
                     mine = _text.mix(every[own].view(_U) ^ _text.mix(node[i : i + 1].view(_U)))
+                    if homes[first + i] is not None:
+                        out.append((homes[first + i], None, 0, 0, 0, int(node[i]), int(c), int(copies[first + i]), known, features))
+                        held += len(features) + len(known) + 80
+                        continue
                     for family, m, x in zip(every[own].tolist(), parts[own].tolist(), mine.tolist(), strict=True):
                         part = x % m
                         for k in range(m):
@@ -314,17 +322,23 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5) -> Dat
                     yield pack(out)
 
     def compare(table: pa.Table) -> pa.Table:
-        col = lambda c: table.column(c).to_numpy()
-        order = np.lexsort((col("node"), col("hi"), col("lo"), col("family")))
-        table = table.take(pa.array(order))
-        family, lo, hi, part, node, n, copies = (col(c) for c in ("family", "lo", "hi", "part", "node", "n", "copies"))
-        known, features = (table.column(c).combine_chunks() for c in ("families", "features"))
+        known, features = ([np.frombuffer(v.as_buffer(), kind) for v in table.column(c)] for c, kind in (("families", np.int64), ("features", _U)))
+        # a row without a family stands for all of its families
+        whole_row = table.column("family").is_null().to_numpy()
+        times = np.where(whole_row, [len(x) for x in known], 1)
+        at = np.repeat(np.arange(table.num_rows), times)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        one = pc.fill_null(table.column("family"), 0).to_numpy()
+        family = np.array([known[i][k] if whole_row[i] else one[i] for i, k in zip(at, nth, strict=True)], np.int64)
+        lo, hi, part, node, n, copies = (table.column(c).to_numpy()[at] for c in ("lo", "hi", "part", "node", "n", "copies"))
+        order = np.lexsort((node, hi, lo, family))
+        at, family, lo, hi, part, node, n, copies = (x[order] for x in (at, family, lo, hi, part, node, n, copies))
         head = np.flatnonzero(np.r_[True, (family[1:] != family[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         outs = []
         for s, e in zip(head, np.append(head[1:], len(node)), strict=True):
             if e - s > 1:
-                views = lambda x, kind: [np.frombuffer(v.as_buffer(), kind) for v in x.slice(s, e - s)]  # noqa: B023, E731
-                links, first = _linked(family[s], part[s:e] if lo[s] < hi[s] else None, n[s:e], copies[s:e], views(known, np.int64), views(features, _U), percent)
+                mine = at[s:e]
+                links, first = _linked(family[s], part[s:e] if lo[s] < hi[s] else None, n[s:e], copies[s:e], [known[i] for i in mine], [features[i] for i in mine], percent)
                 hit = np.flatnonzero(links)
                 outs.append((node[s:e][hit], links[hit], node[s:e][first[hit]]))
         out = [np.concatenate(c) for c in zip(*outs, strict=True)] if outs else [np.zeros(0, np.int64)] * 3
