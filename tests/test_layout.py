@@ -58,7 +58,19 @@ def test_contents_and_back_matter(spark):
     rows = [("Kirish matni", 1, 100), ("MUNDARIJA", 18, 50), (entries(1), 18, 100), (entries(6), 19, 100), ("Bosishga ruxsat etildi", 20, 100)]
     out = {r.text[:8]: r.role for r in layout.mark_contents(raw(spark, rows), heights(spark, 20)).collect()}
     assert out == {"Kirish m": None, "MUNDARIJ": "toc", entries(1)[:8]: "toc", entries(6)[:8]: "toc", "Bosishga": "back_matter"}
-    assert layout.contents_entry("Bob … 12", 20) == (True, 12) and layout.contents_entry("Narxi 2020", 20) == (False, None)
+
+
+@pytest.mark.parametrize("line, entry, number", [("Bob … 12", True, 12), ("Kirish .....", True, None), ("I bob . . . . 7", True, 7), ("Narxi 2020", False, 2020), ("Xulosa 19", True, 19), ("  14 ", True, 14), ("99", False, 99), ("Oddiy gap, 12", False, None), ("...", True, None), ("", False, None)])
+def test_entries_of_contents(spark, line, entry, number):
+    assert tuple(spark.createDataFrame([(line, 20)], "line string, pages int").select(layout.contents_entry(F.col("line"), F.col("pages")).alias("e")).first().e) == (entry, number)
+
+
+def test_lists_go_on_and_end(spark):
+    """A second list needs a title; a page without entries ends a list; a note isn't the line above."""
+    entries = "Kirish ..... 1\nBirinchi ..... 3\nIkkinchi ..... 8"
+    rows = [("Roʻyxat", 1, 40), ("izoh", 1, 45, {"footnote": True}), (entries, 1, 50), ("Uchinchi ..... 9", 2, 50), ("Matn bu yerda", 3, 50), (entries, 4, 50), ("MUNDARIJA", 6, 40), (entries, 6, 50), ("Oxirgi soʻz", 10, 50)]
+    out = {(r.page, r.text[:6]): r.role for r in layout.mark_contents(raw(spark, rows), heights(spark, 10)).collect()}
+    assert out == {(1, "Roʻyxa"): "toc", (1, "izoh"): None, (1, "Kirish"): "toc", (2, "Uchinc"): "toc", (3, "Matn b"): None, (4, "Kirish"): None, (6, "MUNDAR"): "toc", (6, "Kirish"): "toc", (10, "Oxirgi"): None}
 
 
 def test_profile_ranks_heading_styles(spark):
