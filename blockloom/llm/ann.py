@@ -5,9 +5,11 @@ node's neighbours and relaxed distance pruning keeps diverse ones; a beam search
 the best of all shards are merged. For inner products, vectors get one more coordinate that makes all norms equal, so
 that the nearest by distance is the largest product.
 
-Rows: null, empty, zero, null-holding and non-finite vectors take no part, nor do vectors of another dimension than the
-most common one. Identical vectors share a graph node and are all returned. A query never finds rows of its own id.
-Extra columns don't matter; an empty table gives no rows.
+Rows: null, empty, zero, null-holding and non-finite vectors take no part, nor do null ids and vectors of another dimension
+than the most common one. Identical vectors of different ids share a graph node and are all returned; of equal scores the
+smaller id comes first. Rows that repeat an id and its vector are one row; where an id has several vectors, each can be
+found, and the smallest by its bytes asks. A query never finds rows of its own id. Extra columns don't matter; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,8 @@ from ._runtime import Scratch
 from ._vectors import clean_vectors, dtype_of
 
 SHARD = 4096
-QUERY_BLOCK = 1024
+#: Queries of one packed row, and rows of them that visit a shard together: a shard is sent once for each so many.
+QUERY_BLOCK, VISIT = 1024, 32
 DEGREE = 32
 BEAM = 96
 #: Relaxation of the pruning: an edge goes only if a kept neighbour is this much nearer to its end.
@@ -158,6 +162,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     if dims is None:
         return spark.createDataFrame([], schema)
     usable = usable.filter(F.octet_length("vec") == dims["dim"])
+    if not usable.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        usable = scratch.keep(usable.dropDuplicates(["vec_id", "vec"]))
     shards = max(1, -(-dims["count"] // SHARD))
 
     def norm2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +187,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
 
     index = usable.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, ids binary, begin binary, raw binary, x binary, graph binary, entries binary")
     index = scratch.keep(index)
-    asked = usable.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    asked = usable.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)))
 
@@ -189,38 +195,35 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         return pd.DataFrame({"block": [key[0]], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [b"".join(pdf["vec"])]})
 
     packed = scratch.keep(asked.groupBy("block").applyInPandas(pack, "block long, qids binary, q binary"))
-    # Each block of queries visits each shard of the index; nothing smaller than a block is paired.
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    visits = left.join(right, ["shard", "block"])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                ids, begin = np.frombuffer(r.ids, np.int64), np.frombuffer(r.begin, np.int64)
-                n = len(begin) - 1
-                raw, x = np.frombuffer(r.raw, kind).reshape(n, -1).astype(np.float64), np.frombuffer(r.x, np.float32).reshape(n, -1)
-                graph, entries = np.frombuffer(r.graph, np.int32).reshape(n, -1).astype(np.int64), np.frombuffer(r.entries, np.int64)
-                qids, q = np.frombuffer(r.qids, np.int64), np.frombuffer(r.q, kind).reshape(-1, raw.shape[1]).astype(np.float64)
+    # Every query visits every shard, in packed rows; a shard is sent once for VISIT of them.
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = index.withColumn("round", upto(-(-blocks // VISIT)))
+    right = packed.withColumn("round", F.floor(F.col("block") / VISIT)).withColumn("shard", upto(shards))
+
+    def visit(shard: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        for r in shard.to_pylist():
+            ids, begin = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["begin"], np.int64)
+            n = len(begin) - 1
+            raw, x = np.frombuffer(r["raw"], kind).reshape(n, -1).astype(np.float64), np.frombuffer(r["x"], np.float32).reshape(n, -1)
+            graph, entries = np.frombuffer(r["graph"], np.int32).reshape(n, -1).astype(np.int64), np.frombuffer(r["entries"], np.int64)
+            for qids, q in zip(queries.column("qids"), queries.column("q"), strict=True):
+                qids, q = np.frombuffer(qids.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), kind).reshape(-1, raw.shape[1]).astype(np.float64)
                 for s in range(0, len(q), BATCH):
                     part = np.concatenate([q[s : s + BATCH] / np.sqrt(top), np.zeros((len(q[s : s + BATCH]), 1))], 1).astype(np.float32)
                     found, _ = beam_search(x, graph, entries, part, width)
-                    a, b, c = [], [], []
-                    for i, row in enumerate(found):
-                        hit = row[row >= 0]
-                        score = (raw[hit] * q[s + i]).sum(1)
-                        # copies beyond k + 1 can't be among the k, as ties go to the smaller id
-                        members = [ids[begin[h] : min(begin[h + 1], begin[h] + k + 1)] for h in hit]
-                        many = [len(m) for m in members]
-                        vid, sc = np.concatenate(members) if members else ids[:0], np.repeat(score, many)
-                        own = vid != qids[s + i]
-                        vid, sc = vid[own], sc[own]
-                        best = np.lexsort((vid, -sc))[:k]
-                        a.append(np.full(len(best), qids[s + i]))
-                        b.append(vid[best])
-                        c.append(sc[best])
-                    yield pd.DataFrame({"query_id": np.concatenate(a), "vec_id": np.concatenate(b), "score": np.concatenate(c)})
-
-    found = visits.repartition(shards * blocks, "shard", "block").mapInPandas(visit, "query_id long, vec_id long, score double")
+                    out += [nearest(qids[s + i], q[s + i], row[row >= 0], ids, begin, raw) for i, row in enumerate(found)]
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
+
+    def nearest(query: int, q: np.ndarray, hit: np.ndarray, ids: np.ndarray, begin: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # copies beyond k + 1 can't be among the k, as ties go to the smaller id
+        members = [ids[begin[h] : min(begin[h + 1], begin[h] + k + 1)] for h in hit]
+        vid, score = np.concatenate([ids[:0], *members]), np.repeat((raw[hit] * q).sum(1), [len(m) for m in members])
+        own = vid != query
+        best = np.lexsort((vid[own], -score[own]))[:k]
+        return np.full(len(best), query), vid[own][best], score[own][best]
+
+    found = left.groupBy("shard", "round").cogroup(right.groupBy("shard", "round")).applyInArrow(visit, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

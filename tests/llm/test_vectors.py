@@ -27,7 +27,12 @@ def vectors(spark):
     return spark.createDataFrame(rows, SCHEMA).repartition(4)
 
 
-def test_search_recall_and_scores(vectors):
+@pytest.mark.parametrize("shard, block, visit", [(4096, 1024, 32), (100, 7, 2)])
+def test_search_recall_and_scores(vectors, monkeypatch, shard, block, visit):
+    """One shard; several of them, visited by several rows of queries."""
+    monkeypatch.setattr(ann, "SHARD", shard)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", block)
+    monkeypatch.setattr(ann, "VISIT", visit)
     x = made().astype(float)
     got = ann.search(clashing(vectors)).toPandas()
     asked = [i for i in range(600) if i % 20 == 0]
@@ -51,6 +56,12 @@ def test_search_of_little(spark):
     assert ann.search(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_search_of_repeated_ids_and_ties(spark):
+    rows = [(20, [1.0, 0.0], 0), (20, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (4, [2.0, 0.0], 0), (5, [2.0, 1.0], 0), (5, [2.0, 1.0], 0), (6, [2.0, 3.0], 0), (6, [9.0, 3.0], 0)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(20, 1, 6, 9.0), (20, 2, 4, 2.0), (20, 3, 5, 2.0), (20, 4, 6, 2.0), (20, 5, 3, 1.0)]
+
+
 def test_every_node_can_be_reached():
     x = made(500, 4)
     graph, entries = ann.build_graph(x)
