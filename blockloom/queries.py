@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schema as S
 from .functions import hyphens, language, normalize, numbering, scripts, sentences, tokens
 from .operators import chunking, documents, evaluation, layout, paths, tables, training
 from .plans import chunk_html, chunk_texts, html_blocks, text_blocks
