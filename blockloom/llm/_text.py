@@ -76,6 +76,33 @@ def pieces(column: pa.ChunkedArray | pa.Array, overlap: int, most: int = CHUNK)
             yield lo, part, np.array([0, len(part)]), at
 
 
+def word_starts(data: np.ndarray, most: int = 4 * CHUNK) -> np.ndarray:
+    """Where the words of one text begin, found a part of the bytes at a time."""
+    out, before = [np.zeros(0, np.int64)], False
+    for at in range(0, len(data), most):
+        solid = ~SPACE[data[at : at + most]]
+        out.append(at + np.flatnonzero(solid & ~np.r_[before, solid[:-1]]))
+        before = bool(solid[-1])
+    return np.concatenate(out)
+
+
+def word_pieces(column: pa.ChunkedArray | pa.Array, every: int, overlap: int = 0, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(first row, end row, bytes, row offsets, more): as slices, but a longer text comes in pieces of ``every`` words.
+
+    A piece has the ``overlap`` words after it as well; ``more`` says that it belongs to the row of the piece before.
+    """
+    for lo, hi, data, offs in slices(column, most):
+        starts = word_starts(data) if hi - lo == 1 and len(data) > 2 * most else ()
+        if len(starts) <= every + overlap:
+            yield lo, hi, data, offs, False
+            continue
+        for k in range(0, len(starts), every):
+            if k and len(starts) - k <= overlap:
+                break
+            part = data[starts[k] : starts[k + every + overlap] if k + every + overlap < len(starts) else len(data)]
+            yield lo, hi, part, np.array([0, len(part)]), k > 0
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of each run of non-space bytes; a run never crosses rows."""
     n = len(data)

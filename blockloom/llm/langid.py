@@ -2,11 +2,12 @@
 
 Character 1- to 3-grams of the lower-cased text are hashed into BUCKETS features; term frequencies are shares of the text's
 n-grams and document frequencies cover every training document. Weights come from follow-the-regularised-leader with an
-elastic-net penalty over at most FIT_DOCS training documents, and a temperature fitted on documents kept from
+elastic-net penalty over at most FIT_DOCS training rows and FIT_BYTES of text, and a temperature fitted on documents kept from
 training calibrates the probabilities.
 
 Rows: a null text or one without a letter is ``und`` with score 0. Only non-null lang of training rows is learned; without
-any, everything is ``und``. Repeated rows are scored once each. Extra columns don't matter; an empty table gives no rows.
+any, everything is ``und``; of languages with equal scores the first by name. Rows that repeat an id are fitted on once (its first
+language by name, its smallest text) and scored once each. Long texts are read a part at a time. Extra columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._fit import held_out
+from ._fit import bounded_rows, held_out
 from ._runtime import crc_mod, prepare
 
 BITS = 15
@@ -37,8 +38,37 @@ def _letters() -> np.ndarray:
     return _alpha[0]
 
 
-def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, row of each n-gram, feature of each n-gram, whether each row has a letter) in runs of rows of bounded size."""
+def _grams_of(parts: list[str], starts: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each n-gram, feature of each n-gram, whether each row has a letter); only n-grams that begin before ``starts``."""
+    lens = np.array([len(p) for p in parts])
+    code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[code]
+    code = np.where(letter, code, np.uint32(32))
+    row = np.repeat(np.arange(len(parts)), lens)
+    has = np.bincount(row, letter, len(parts)) > 0
+    feats, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    h = np.zeros(len(code), np.uint32)
+    for k in ORDERS:
+        m = len(code) - k + 1
+        if m <= 0:
+            break
+        h = h[:m] + (code[k - 1 :] + np.uint32(k)) * _MULTIPLIERS[k - 1]
+        ok = letter[:m] | letter[k - 1 :]
+        ok &= row[:m] == row[k - 1 :]
+        at = np.flatnonzero(ok[:starts])
+        x = h[at]
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(2246822519)
+        feats.append((x >> np.uint32(32 - BITS)).astype(np.int32))
+        rows.append(row[at])
+    return np.concatenate(rows), np.concatenate(feats), has
+
+
+def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(first row, end row, row of each n-gram, feature of each, whether each row has a letter, times of each) in runs of bounded size.
+
+    Times are None for 1 each. A text of more than CHARS characters stands alone; its n-grams are added up by feature, a
+    part of it at a time.
+    """
     lo = 0
     while lo < len(texts):
         hi, size, parts = lo, 0, []
@@ -46,27 +76,17 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.nd
             parts.append((texts[hi] or "").lower())
             size += len(parts[-1])
             hi += 1
-        lens = np.array([len(p) for p in parts])
-        code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _letters()[code]
-        code = np.where(letter, code, np.uint32(32))
-        row = np.repeat(np.arange(len(parts)), lens)
-        has = np.bincount(row, letter, len(parts)) > 0
-        feats, rows = [], []
-        h = np.zeros(len(code), np.uint32)
-        for k in ORDERS:
-            m = len(code) - k + 1
-            if m <= 0:
-                break
-            h = h[:m] + (code[k - 1 :] + np.uint32(k)) * _MULTIPLIERS[k - 1]
-            ok = letter[:m] | letter[k - 1 :]
-            ok &= row[:m] == row[k - 1 :]
-            at = np.flatnonzero(ok)
-            x = h[at]
-            x = (x ^ (x >> np.uint32(15))) * np.uint32(2246822519)
-            feats.append((x >> np.uint32(32 - BITS)).astype(np.int32))
-            rows.append(row[at])
-        yield lo, hi, np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(feats) if feats else np.zeros(0, np.int32), has
+        if size <= CHARS:
+            row, feat, has = _grams_of(parts)
+            yield lo, hi, row, feat, has, None
+        else:
+            times, letter, reach = np.zeros(BUCKETS, np.int64), False, max(ORDERS) - 1
+            for s in range(0, size, CHARS):
+                _, feat, has = _grams_of([parts[0][s : s + CHARS + reach]], CHARS)
+                times += np.bincount(feat, minlength=BUCKETS)
+                letter |= bool(has[0])
+            feat = np.flatnonzero(times)
+            yield lo, hi, np.zeros(len(feat), np.int64), feat.astype(np.int32), np.array([letter]), times[feat]
         lo = hi
 
 
@@ -76,7 +96,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
         for b in batches:
-            for lo, hi, row, feat, _ in grams(b.column("text").to_pylist()):
+            for lo, hi, row, feat, *_ in grams(b.column("text").to_pylist()):
                 n += hi - lo
                 order = np.argsort(row, kind="stable")
                 row, feat = row[order], feat[order]
@@ -141,8 +161,8 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(min(np.geomspace(0.05, 20, 121), key=loss))
 
 
-def _vector(row: np.ndarray, feat: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    f, c = np.unique(feat, return_counts=True)
+def _vector(feat: np.ndarray, times: np.ndarray | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    f, c = (feat, times) if times is not None else np.unique(feat, return_counts=True)
     v = c / max(1, c.sum()) * idf[f] * SCALE
     return np.append(f, BUCKETS), np.append(v, 1.0)
 
@@ -156,17 +176,17 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 29) -> dict:
     learn = docs.filter(F.col("lang").isNotNull() & (F.coalesce(crc_mod("doc_id", 5), F.lit(0)) != 0) & F.col("doc_id").isNotNull())
     n, df = document_frequencies(learn)
     idf = np.log((1 + n) / (1 + df)) + 1
-    picked = learn.select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_docs)
-    got = learn.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(picked.distinct()), "doc_id").toPandas()
-    got = got.sort_values(["doc_id", "lang", "text"], kind="stable")
+    order = F.xxhash64(F.lit(seed), "doc_id")
+    picked = learn.groupBy("doc_id").agg(F.min(F.col("lang").cast("string")).alias("lang")).orderBy(order, "doc_id").limit(fit_docs)
+    got = bounded_rows(learn, picked, order, fit_docs).toPandas().sort_values("doc_id")
     vectors, y, names = [], [], sorted(set(got["lang"]))
     texts, langs = got["text"].tolist(), got["lang"].tolist()
-    for lo, hi, row, feat, has in grams(texts):
-        order = np.argsort(row, kind="stable")
-        cut = np.searchsorted(row[order], np.arange(hi - lo + 1))
+    for lo, hi, row, feat, has, times in grams(texts):
+        by = np.argsort(row, kind="stable")
+        cut = np.searchsorted(row[by], np.arange(hi - lo + 1))
         for k in range(hi - lo):
             if has[k]:
-                vectors.append(_vector(row, feat[order[cut[k] : cut[k + 1]]], idf))
+                vectors.append(_vector(feat[by[cut[k] : cut[k + 1]]], times, idf))
                 y.append(names.index(langs[lo + k]))
     y = np.array(y, int)
     if not len(y):
@@ -186,9 +206,10 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         names = np.array([*model["names"], "und"], object)
         for b in batches:
             best, score = np.full(b.num_rows, len(names) - 1), np.zeros(b.num_rows)
-            for lo, hi, row, feat, has in grams(b.column("text").to_pylist()) if model["names"] else ():
-                total = np.maximum(1, np.bincount(row, minlength=hi - lo))
-                s = np.stack([np.bincount(row, model["w"][:, k][feat], hi - lo) / total + model["bias"][k] for k in range(len(names) - 1)], 1) / model["t"]
+            for lo, hi, row, feat, has, times in grams(b.column("text").to_pylist()) if model["names"] else ():
+                total = np.maximum(1, np.bincount(row, times, hi - lo))
+                said = lambda w, f=feat, t=times: w[f] if t is None else w[f] * t
+                s = np.stack([np.bincount(row, said(model["w"][:, k]), hi - lo) / total + model["bias"][k] for k in range(len(names) - 1)], 1) / model["t"]
                 p = np.exp(s - s.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best[lo:hi] = np.where(has, p.argmax(1), len(names) - 1)

@@ -52,55 +52,53 @@ class Mix:
     domain: Callable[[Column], Column] = default_domain
 
 
-def solve(supply: Mapping[tuple[str, ...], int], mix: Mix) -> dict[tuple[str, ...], float]:
-    """Tokens granted to each leaf."""
-    room: dict[tuple[str, ...], float] = {}
-    tokens: dict[tuple[str, ...], float] = {}
-    below: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
-    for leaf, n in supply.items():
-        for d in range(len(leaf) + 1):
-            room[leaf[:d]] = room.get(leaf[:d], 0) + n * mix.max_epochs
-            tokens[leaf[:d]] = tokens.get(leaf[:d], 0) + n
-            if d:
-                below.setdefault(leaf[: d - 1], set()).add(leaf[:d])
-    granted: dict[tuple[str, ...], float] = {}
-
-    def grant(node: tuple[str, ...], budget: float) -> None:
-        if node in supply:
-            granted[node] = min(budget, room[node])
-            return
-        open_, left, share = sorted(below[node]), min(budget, room[node]), {}
-        heft = {}
-        named = [k for k in open_ if k in mix.weights]
-        rest = sum(tokens[k] for k in open_ if k not in mix.weights)
-        spare, scale = 1.0 - sum(w for k, w in mix.weights.items() if k[:-1] == node), 1.0
-        if spare < 1e-9:  # the weights leave nothing: children without one keep their natural share, the others split the rest
-            spare = rest / tokens[node] if tokens[node] else 0.0
-            scale = (1.0 - spare) / (sum(mix.weights[k] for k in named) or 1.0)
-        for k in open_:
-            heft[k] = scale * mix.weights[k] if k in mix.weights else (spare if named else 1.0) * (tokens[k] / rest if rest else 0.0)
-        while open_:
-            total = sum(heft[k] for k in open_)
-            if total <= 0:
-                heft.update({k: float(room[k]) for k in open_})
-                total = sum(heft[k] for k in open_)
-                if total <= 0:
-                    share.update(dict.fromkeys(open_, 0.0))
-                    break
-            full = [k for k in open_ if room[k] <= left * heft[k] / total]
-            if not full:
-                share.update({k: left * heft[k] / total for k in open_})
-                break
-            for k in full:
-                share[k] = float(room[k])
-            left = max(0.0, left - sum(room[k] for k in full))
-            open_ = [k for k in open_ if k not in full]
-        for k, b in share.items():
-            grant(k, b)
-
-    if supply:
-        grant((), mix.budget if mix.budget is not None else mix.budget_fraction * tokens[()])
-    return granted
+def _poured(children: DataFrame, parent: list[str]) -> DataFrame:
+    """``children`` (parent columns, budget of the parent, heft, room) with granted: by heft, and what one has no room for to its siblings.
+
+    Children fill up in the order of room by heft; at one place in that order the rest of the budget no longer fills them.
+    Children without heft get what all others together have no room for, by their room.
+    """
+    every, heavy = Window.partitionBy(*parent), F.col("heft") > 0
+    order = Window.partitionBy(*parent).orderBy(F.when(heavy, F.col("room") / F.col("heft")).asc_nulls_last(), "node")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    weigh = lambda c: F.sum(F.when(heavy, c).otherwise(0.0))
+    out = children.withColumn("left", F.least("budget", F.sum("room").over(every)))
+    out = out.withColumn("full", heavy & ((F.col("left") - F.coalesce(weigh(F.col("room")).over(before), F.lit(0.0))) * F.col("heft") >= F.col("room") * (weigh(F.col("heft")).over(every) - F.coalesce(weigh(F.col("heft")).over(before), F.lit(0.0)))))
+    rest = F.greatest(F.lit(0.0), F.col("left") - F.sum(F.when(F.col("full"), F.col("room")).otherwise(0.0)).over(every))
+    open_ = F.sum(F.when(heavy & ~F.col("full"), F.col("heft")).otherwise(0.0)).over(every)
+    light = F.sum(F.when(~heavy, F.col("room")).otherwise(0.0)).over(every)
+    share = F.when(F.col("full"), F.col("room")).when(heavy, rest * F.col("heft") / open_).when((open_ > 0) | (light <= 0), 0.0).otherwise(rest * F.col("room") / light)
+    return out.withColumn("granted", F.least(F.col("room"), share))
+
+
+def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
+    """(leaf columns, tokens, granted) of ``leaves`` (leaf columns, tokens): budgets down the tree, one level at a time.
+
+    Children with a weight share their parent's budget by it; those without one have their natural share of what the weights
+    leave. If the weights leave nothing, those without one keep their natural share, and the others split the rest. A
+    parent's children are one window; no leaf comes to the driver.
+    """
+    spark = leaves.sparkSession
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).select(F.lit(float(mix.budget) if mix.budget is not None else None).cast("double").alias("given"), "t")
+    level = total.select(F.coalesce("given", F.col("t") * F.lit(mix.budget_fraction)).alias("budget"), F.lit("").alias("root"))
+    for depth, column in enumerate(LEAF, 1):
+        parent, own = ["root", *LEAF[: depth - 1]], LEAF[:depth]
+        weights = [(*k, float(w)) for k, w in mix.weights.items() if len(k) == depth]
+        told = spark.createDataFrame(weights, ", ".join(f"{c} string" for c in own) + ", weight double")
+        promised = told.withColumn("root", F.lit("")).groupBy(*parent).agg(F.sum("weight").alias("promised"))
+        nodes = leaves.groupBy(*own).agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("root", F.lit(""))
+        nodes = nodes.join(F.broadcast(told), list(own), "left").join(F.broadcast(promised), parent, "left").join(level.drop("tokens"), parent)
+        siblings = Window.partitionBy(*parent)
+        plain = F.sum(F.when(F.col("weight").isNull(), F.col("tokens")).otherwise(0.0)).over(siblings)
+        named, all_ = F.coalesce(F.sum("weight").over(siblings), F.lit(0.0)), F.sum("tokens").over(siblings)
+        spare = 1 - F.coalesce("promised", F.lit(0.0))
+        natural = F.when(all_ > 0, plain / all_).otherwise(0.0)
+        nodes = nodes.withColumns({"_plain": plain, "_named": named, "_tight": spare < 1e-9, "_any": F.count("weight").over(siblings) > 0, "_spare": F.when(spare < 1e-9, natural).otherwise(spare)})
+        scale = F.when(F.col("_tight"), (1 - F.col("_spare")) / F.when(F.col("_named") == 0, 1.0).otherwise(F.col("_named"))).otherwise(1.0)
+        share = F.when(F.col("_any"), F.col("_spare")).otherwise(1.0) * F.when(F.col("_plain") > 0, F.col("tokens") / F.col("_plain")).otherwise(0.0)
+        nodes = nodes.withColumns({"heft": F.when(F.col("weight").isNotNull(), scale * F.col("weight")).otherwise(share), "room": F.col("tokens") * mix.max_epochs, "node": F.col(column)})
+        level = _poured(nodes, parent).select("root", *own, "tokens", F.col("granted").alias("budget"))
+    return level.select(*LEAF, F.col("tokens").cast("long").alias("tokens"), F.col("budget").alias("granted"))
 
 
 def n_tokens(text: Column) -> Column:
@@ -115,20 +113,16 @@ def mix_sources(docs: DataFrame, mix: Mix) -> DataFrame:
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     named = docs.withColumns({"_domain": mix.domain(known("source")), "_lang": known("lang"), "_source": known("source"), "_tokens": n_tokens(F.col("text"))})
     slim = scratch.keep(named.select(*LEAF, F.col("doc_id").alias("_id"), "_tokens"))
-    leaves = slim.groupBy(*LEAF).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # one row a leaf of the tree
-    supply = {tuple(r[c] for c in LEAF): r["tokens"] for r in leaves}
-    granted = solve(supply, mix)
-    plan = []
-    for r in leaves:
-        leaf = tuple(r[c] for c in LEAF)
-        s, b = r["tokens"], int(granted[leaf] + 1e-6)
-        full = min(mix.max_epochs, b // s) if s else mix.max_epochs
-        plan.append((*leaf, int(full), int(b - full * s) if full < mix.max_epochs else 0, 1 + r["n"] // BUCKET_ROWS))
-    budgets = spark.createDataFrame(plan, ", ".join(f"{c} string" for c in LEAF) + ", _full int, _rest long, _buckets long")
-    small = F.broadcast if len(plan) <= BROADCAST_LEAVES else lambda df: df
+    leaves = scratch.keep(slim.groupBy(*LEAF).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
+    whole = F.floor(F.col("granted") + 1e-6).cast("long")
+    full = F.when(F.col("tokens") > 0, F.least(F.lit(mix.max_epochs), F.floor(whole / F.col("tokens")))).otherwise(F.lit(mix.max_epochs)).cast("int")
+    rest = F.when(F.col("_full") < mix.max_epochs, whole - F.col("_full") * F.col("tokens")).otherwise(0).cast("long")
+    plan = budgets(leaves, mix).join(leaves.select(*LEAF, "n"), list(LEAF)).withColumn("_full", full).withColumn("_rest", rest)
+    plan = scratch.keep(plan.select(*LEAF, "_full", "_rest", (1 + F.floor(F.col("n") / BUCKET_ROWS)).cast("long").alias("_buckets")))
+    small = F.broadcast if plan.count() <= BROADCAST_LEAVES else lambda df: df
     key = F.xxhash64(F.lit(mix.seed), F.col("_full"), F.col("_id"))
     # A leaf's order is dealt into ranges of its key, so that no task sees a whole leaf.
-    keyed = slim.join(small(budgets.filter("_rest > 0")), list(LEAF)).withColumn("_key", key)
+    keyed = slim.join(small(plan.filter("_rest > 0")), list(LEAF)).withColumn("_key", key)
     keyed = keyed.withColumn("_range", F.floor((F.col("_key").cast("double") / F.lit(2.0**64) + 0.5) * F.col("_buckets")))
     by_range = keyed.groupBy(*LEAF, "_range", "_rest").agg(F.sum("_tokens").alias("_sum"))
     w = Window.partitionBy(*LEAF).orderBy("_range")
@@ -138,7 +132,7 @@ def mix_sources(docs: DataFrame, mix: Mix) -> DataFrame:
     last = keyed.join(small(edge), [*LEAF, "_range"])
     cum = F.sum("_tokens").over(Window.partitionBy(*LEAF, "_range").orderBy("_key", "_id"))  # the default frame counts peers
     cut = last.withColumn("_cum", cum + F.col("_before")).filter("_cum <= _rest").groupBy(*LEAF).agg(F.max(F.struct("_key", F.coalesce("_id", F.lit(-(2**63))).alias("_cut_id"))).alias("_cut"))
-    edges = scratch.keep(budgets.join(edge, list(LEAF), "left").join(cut, list(LEAF), "left").select(*LEAF, "_full", "_rest", "_buckets", F.col("_range").alias("_edge"), "_cut"))
+    edges = scratch.keep(plan.join(edge, list(LEAF), "left").join(cut, list(LEAF), "left").select(*LEAF, "_full", "_rest", "_buckets", F.col("_range").alias("_edge"), "_cut"))
     out = named.join(small(edges), list(LEAF), "left").withColumn("_id", F.col("doc_id")).withColumn("_key", key)
     at = F.floor((F.col("_key").cast("double") / F.lit(2.0**64) + 0.5) * F.col("_buckets"))
     taken = (F.col("_rest") > 0) & ((at < F.col("_edge")) | F.coalesce((at == F.col("_edge")) & (F.struct(F.col("_key"), F.coalesce("_id", F.lit(-(2**63))).alias("_cut_id")) <= F.col("_cut")), F.lit(False)))

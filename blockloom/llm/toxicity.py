@@ -4,8 +4,8 @@ A text is read in overlapping windows of WINDOW words, one every STRIDE words, o
 the embedding of a learned vocabulary (unknown words share one) beside the mean of its hashed character trigrams. The
 network is trained in numpy on document labels alone: a document scores as its most toxic window.
 
-Rows: null, empty and blank texts are one window without words. Labels come from at most FIT_DOCS toxic and twice as many other
-rows outside the held-out fold; with labels of one class only, the score is the smoothed share of ones (0.5 without labels).
+Rows: null, empty and blank texts are one window without words; long texts are read in overlapping pieces. Labels come from at
+most FIT_DOCS toxic and twice as many other rows, and FIT_BYTES of text, outside the held-out fold; with labels of one class only, the score is the smoothed share of ones (0.5 without labels).
 Repeated rows are scored once each. Extra columns don't matter; an empty table gives no rows.
 """
 
@@ -23,6 +23,8 @@ from ._fit import Adam, held_out, labelled_sample, sigmoid
 from ._runtime import prepare
 
 WINDOW, STRIDE = 32, 16
+#: Words of a long text that are read at a time; a multiple of STRIDE, so that the windows are those of the whole text.
+PIECE_WORDS = 1 << 16
 #: Toxic documents that the model is fitted on, at most; of others, twice as many.
 FIT_DOCS = 1500
 VOCABULARY = 4096
@@ -157,7 +159,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 4) -> dict[str, np.ndarray]
     batch = 256 if len(y) >= 2000 else 32
     epochs = max(EPOCHS, min(4 * EPOCHS, STEPS * batch // max(1, len(y))))
     loaded = []
-    for lo, hi, data, offs in _text.slices(pa.array(texts, pa.large_string())):
+    for lo, hi, data, offs in _text.slices(pa.array(texts, pa.large_string())):  # bounded: FIT_BYTES in all
         row, number, uniq, tri, begin = word_table(data, offs)
         loaded.append((lo, hi, row, number, uniq, tri, begin))
     # vocabulary: words of at least 3 documents that tell the classes apart best; their log odds start the embedding
@@ -232,7 +234,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.zeros(b.num_rows)
-            for lo, hi, data, offs in _text.slices(b.column("text"), 1 << 20):
+            for lo, hi, data, offs, more in _text.word_pieces(b.column("text"), PIECE_WORDS, WINDOW - STRIDE, 1 << 20):
                 if "prior" in model:
                     out[lo:hi] = model["prior"]
                     continue
@@ -240,7 +242,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 x, _ = inputs(model, model["vocab"], uniq, tri, begin)
                 doc, ids, per = windows(row, number, hi - lo)
                 s = np.concatenate([network(model, x, ids[i : i + 4096])["s"] for i in range(0, len(ids), 4096)])
-                out[lo:hi] = sigmoid(np.maximum.reduceat(s, np.cumsum(per) - per))
+                top = sigmoid(np.maximum.reduceat(s, np.cumsum(per) - per))
+                out[lo:hi] = np.maximum(out[lo:hi], top) if more else top
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double")

@@ -3,33 +3,116 @@
 import importlib
 import random
 from collections import defaultdict
+from collections.abc import Mapping
 
 import pytest
 from pyspark.sql import functions as F
 
 from blockloom.llm import mixing, packing
-from blockloom.llm.mixing import Mix, mix_sources, solve
+from blockloom.llm.mixing import LEAF, Mix, mix_sources
 from blockloom.llm.queries import TARGETS
 from tests.llm.conftest import DOC, clashing, corpus
 
 
-def test_shortages_go_to_siblings_before_ancestors():
+def solve(supply: Mapping[tuple[str, ...], int], mix: Mix) -> dict[tuple[str, ...], float]:
+    """Tokens granted to each leaf, one node of the tree after the other."""
+    room: dict[tuple[str, ...], float] = {}
+    tokens: dict[tuple[str, ...], float] = {}
+    below: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
+    for leaf, n in supply.items():
+        for d in range(len(leaf) + 1):
+            room[leaf[:d]] = room.get(leaf[:d], 0) + n * mix.max_epochs
+            tokens[leaf[:d]] = tokens.get(leaf[:d], 0) + n
+            if d:
+                below.setdefault(leaf[: d - 1], set()).add(leaf[:d])
+    granted: dict[tuple[str, ...], float] = {}
+
+    def grant(node: tuple[str, ...], budget: float) -> None:
+        if node in supply:
+            granted[node] = min(budget, room[node])
+            return
+        open_, left, share = sorted(below[node]), min(budget, room[node]), {}
+        heft = {}
+        named = [k for k in open_ if k in mix.weights]
+        rest = sum(tokens[k] for k in open_ if k not in mix.weights)
+        spare, scale = 1.0 - sum(w for k, w in mix.weights.items() if k[:-1] == node), 1.0
+        if spare < 1e-9:  # the weights leave nothing: children without one keep their natural share, the others split the rest
+            spare = rest / tokens[node] if tokens[node] else 0.0
+            scale = (1.0 - spare) / (sum(mix.weights[k] for k in named) or 1.0)
+        for k in open_:
+            heft[k] = scale * mix.weights[k] if k in mix.weights else (spare if named else 1.0) * (tokens[k] / rest if rest else 0.0)
+        while open_:
+            total = sum(heft[k] for k in open_)
+            if total <= 0:
+                heft.update({k: float(room[k]) for k in open_})
+                total = sum(heft[k] for k in open_)
+                if total <= 0:
+                    share.update(dict.fromkeys(open_, 0.0))
+                    break
+            full = [k for k in open_ if room[k] <= left * heft[k] / total]
+            if not full:
+                share.update({k: left * heft[k] / total for k in open_})
+                break
+            for k in full:
+                share[k] = float(room[k])
+            left = max(0.0, left - sum(room[k] for k in full))
+            open_ = [k for k in open_ if k not in full]
+        for k, b in share.items():
+            grant(k, b)
+
+    if supply:
+        grant((), mix.budget if mix.budget is not None else mix.budget_fraction * tokens[()])
+    return granted
+
+
+def granted(spark, supply, mix):
+    """What the plan grants, which must be what the direct version grants."""
+    leaves = spark.createDataFrame([(*k, n) for k, n in supply.items()], ", ".join(f"{c} string" for c in LEAF) + ", tokens long")
+    got = {tuple(r[c] for c in LEAF): r.granted for r in mixing.budgets(leaves, mix).collect()}
+    want = solve(supply, mix)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    return got
+
+
+def test_a_hand_worked_tree(spark):
+    """Half to each domain; w's a is short of 30, which b takes; k is short of 10, which goes to w: 5 to each language."""
+    supply = {("w", "en", "a"): 10, ("w", "en", "b"): 200, ("w", "de", "c"): 200, ("k", "en", "d"): 90}
+    weights = {("w",): 0.5, ("k",): 0.5, ("w", "en"): 0.5, ("w", "de"): 0.5, ("w", "en", "a"): 0.8, ("w", "en", "b"): 0.2}
+    assert granted(spark, supply, Mix(weights, budget=200)) == pytest.approx({("w", "en", "a"): 10, ("w", "en", "b"): 45, ("w", "de", "c"): 55, ("k", "en", "d"): 90})
+    rows = [(i, "t " * 10, "en", "a", 0) for i in range(1)] + [(100 + i, "t " * 10, "en", "b", 0) for i in range(20)] + [(200 + i, "t " * 10, "de", "c", 0) for i in range(20)] + [(300 + i, "t " * 10, "en", "d", 0) for i in range(9)]
+    domain = lambda s: F.when(s == "d", "k").otherwise("w")
+    taken = defaultdict(int)
+    for r in mix_sources(spark.createDataFrame(rows, DOC), Mix(weights, budget=200, domain=domain)).collect():
+        taken[r.source] += r._copies * r._tokens
+    assert taken == {"a": 10, "b": 40, "c": 50, "d": 90}  # whole documents of ten tokens
+
+
+def test_random_trees(spark):
+    rng = random.Random(9)
+    for _ in range(6):
+        supply = {(f"d{rng.randrange(3)}", f"l{rng.randrange(3)}", f"s{k}"): rng.choice([0, 5, 40, 300]) for k in range(14)}
+        nodes = {k[:n] for k in supply for n in (1, 2, 3)} | {("gone",), ("d0", "gone")}
+        weights = {k: rng.choice([0.0, 0.1, 0.3, 0.5]) for k in nodes if rng.random() < 0.5}
+        granted(spark, supply, Mix(weights, budget_fraction=rng.choice([0.2, 0.8, 1.5]), max_epochs=rng.choice([1, 2])))
+
+
+def test_shortages_go_to_siblings_before_ancestors(spark):
     supply = {("w", "en", "a"): 10, ("w", "en", "b"): 100, ("w", "de", "c"): 100, ("k", "en", "d"): 100}
     even = {("w",): 0.5, ("k",): 0.5, ("w", "en"): 0.5, ("w", "de"): 0.5, ("w", "en", "a"): 0.5, ("w", "en", "b"): 0.5}
-    got = solve(supply, Mix(even, budget=160))
-    assert got == {("w", "en", "a"): 10, ("w", "en", "b"): 30, ("w", "de", "c"): 40, ("k", "en", "d"): 80}
-    got = solve(supply, Mix(even, budget=260))  # k is short of 30, which goes to w
+    got = granted(spark, supply, Mix(even, budget=160))
+    assert got == pytest.approx({("w", "en", "a"): 10, ("w", "en", "b"): 30, ("w", "de", "c"): 40, ("k", "en", "d"): 80})
+    got = granted(spark, supply, Mix(even, budget=260))  # k is short of 30, which goes to w
     assert got[("k", "en", "d")] == 100 and sum(got.values()) == pytest.approx(260) and got[("w", "de", "c")] == 80
-    assert sum(solve(supply, Mix(even, budget=9999)).values()) == 310 and solve({}, Mix()) == {}
-    assert sum(solve(supply, Mix(even, budget=600, max_epochs=3)).values()) == pytest.approx(600)
+    assert sum(granted(spark, supply, Mix(even, budget=9999)).values()) == 310 and granted(spark, {}, Mix()) == {}
+    assert sum(granted(spark, supply, Mix(even, budget=600, max_epochs=3)).values()) == pytest.approx(600)
 
 
 def test_weights_that_add_up_to_one_leave_the_others_their_share(spark):
     supply = {("web", "en", "src1"): 500, ("books", "en", "src9"): 300, ("forums", "en", "src15"): 150, ("other", "en", "odd"): 30, ("other", "unknown", "unknown"): 20}
-    got = solve(supply, Mix(TARGETS, budget_fraction=0.8, max_epochs=2))
+    got = granted(spark, supply, Mix(TARGETS, budget_fraction=0.8, max_epochs=2))
     assert got[("other", "en", "odd")] + got[("other", "unknown", "unknown")] == pytest.approx(40) and sum(got.values()) == pytest.approx(800)
     assert got[("web", "en", "src1")] == pytest.approx(380) and got[("books", "en", "src9")] == pytest.approx(228)
-    got = solve({k: n for k, n in supply.items() if k[0] != "books"}, Mix(TARGETS, budget=350))  # nor do weights of what isn't there
+    got = granted(spark, {k: n for k, n in supply.items() if k[0] != "books"}, Mix(TARGETS, budget=350))  # nor do weights of what isn't there
     assert got[("other", "en", "odd")] == pytest.approx(350 * 30 / 700)
     rows = [(i, "a b c d", "en", ["src1", "src9", "src15", "odd", None][i % 5], 7) for i in range(500)]
     copies = defaultdict(int)
@@ -49,9 +132,9 @@ def test_selection_is_a_prefix_of_the_seeded_order(docs, monkeypatch, epochs, sh
         leaf = (r._domain, r._lang, r._source)
         supply[leaf] += r._tokens
         members[leaf].append(r)
-    granted = solve(supply, mix)
+    given = solve(supply, mix)
     for leaf, own in members.items():
-        b, s = int(granted[leaf] + 1e-6), supply[leaf]
+        b, s = int(given[leaf] + 1e-6), supply[leaf]
         full = min(epochs, b // s) if s else epochs
         rest = b - full * s if full < epochs else 0
         keys = {r.doc_id: k for r, k in zip(own, _keys(docs, own, mix.seed, full))}
