@@ -189,6 +189,42 @@ def test_pack_documents(docs, spark):
     assert sorted(r.doc_id or 0 for r in odd) == [0, big, big]
 
 
+def directly(lengths, permitted, cost):
+    """Best fit as it reads: bins as a list, every choice looked for among all."""
+    waiting = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    bins, touched = [], 0  # [length, filled, when it was last touched]
+    place = {}
+    while waiting:
+        i, *waiting = waiting
+        n = lengths[i]
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        touched += 1
+        if fits:
+            b = min(fits, key=lambda b: (b[0] - b[1], -b[2]))
+        else:
+            def price(c):
+                room = c - n
+                for j in waiting:  # longest first
+                    room -= lengths[j] if lengths[j] <= room else 0
+                return (c + cost) / (c - room), -c
+
+            b = [min((c for c in permitted if c >= n), key=price), 0, 0]
+            bins.append(b)
+        place[i] = (bins.index(b), b[1])
+        b[1], b[2] = b[1] + n, touched
+    return [place[i] for i in range(len(lengths))], [min(c for c in permitted if c >= b[1]) for b in bins]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_pack_against_a_direct_version(seed):
+    rng = random.Random(seed)
+    permitted, cost = rng.choice([((8, 16), 1), ((10, 25, 60), 3), ((64,), 16), ((5, 6, 7, 50), 0)])
+    lengths = [rng.randrange(1, max(permitted) + 1) if rng.random() < 0.5 else rng.randrange(1, 6) for _ in range(rng.randrange(1, 60))]
+    place, final = packing.pack(lengths, permitted, cost)
+    want_place, want_final = directly(lengths, permitted, cost)
+    assert final == want_final and place == want_place
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     rows = [(i, t, "en", f"src{i % 20}", len(t or "")) for i, t in corpus()]
@@ -204,3 +240,59 @@ def test_pipeline(spark, tmp_path):
     kept = pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     ids = {r.doc_id for r in kept.collect()}
     assert {0, 1, 2} <= ids and not ids & {40, 43, 46}  # exact copies of 0, 1 and 2
+
+
+def removed_texts(rows, length=100):
+    """Of (id, text) in order: what is left of each."""
+    seen, out = set(), {}
+    for i, text in rows:
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - length + 1):
+            if raw[k : k + length] in seen:
+                gone[k : k + length] = b"x" * length
+            seen.add(raw[k : k + length])
+        out[i] = bytes(c for c, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
+def test_pipeline_stages_against_direct_versions(spark, tmp_path):
+    from tests.llm.test_text_dedup import components
+
+    pipeline = importlib.import_module("corpus_pipeline")
+    rows = [(i, t, "en", f"src{i % 20}", len(t or "")) for i, t in corpus()]
+    docs = clashing(spark.createDataFrame(rows, DOC))
+    kept = {r.doc_id for r in pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert kept == {i for i, (_, c) in components(corpus()).items() if c == i}
+    left = {r.doc_id: r for r in pipeline.repeated_text_stage(spark, docs, "").collect()}
+    want = removed_texts(sorted(corpus()))
+    assert {i: r.text for i, r in left.items()} == want and all(r.n_chars == len(r.text) and r._doc == "_doc" for r in left.values())
+    mixed = pipeline.mixture_stage(spark, docs, "").collect()
+    supply, taken = defaultdict(int), defaultdict(int)
+    for i, t, lang, source, _ in rows:
+        leaf = ({0: "web", 1: "books", 2: "forums"}[min(2, int(source[3:]) // 7)], lang, source)
+        supply[leaf] += len((t or "").split())
+        taken[leaf] += len((t or "").split()) if i in {r.doc_id for r in mixed} else 0
+    given = solve(supply, Mix(TARGETS, budget_fraction=pipeline.BUDGET))
+    assert all(taken[k] <= given[k] + 1e-6 for k in supply) and all(r._tokens == "_tokens" for r in mixed)
+    packed = pipeline.packing_stage(spark, docs, "").collect()
+    assert sum(r.n_tokens for r in packed) == sum(supply.values())
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables, null and repeated ids, nulls in every column, columns named like what operators add."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long_ = " ".join(f"w{i}" for i in range(40))
+    odd = [(None, None, None, None, None), (None, long_, None, None, None), (5, long_, "en", "src1", 1), (5, "other words", "en", "src1", 1), (7, "", None, None, 0), (7, "", None, None, 0)]
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, spark.createDataFrame([], DOC), str(tmp_path)).count() == 0, name
+        docs = clashing(spark.createDataFrame(odd, DOC)).withColumn("_score", F.lit(7.0)).withColumn("_domain", F.lit("mine"))
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert 0 < len(got) <= len(odd) and all(r._score == 7.0 and r._domain == "mine" and r.score == "score" for r in got), name
+    assert pipeline.packing_stage(spark, spark.createDataFrame([], DOC), "").count() == 0
+    assert pipeline.packing_stage(spark, clashing(spark.createDataFrame(odd, DOC)), "").count() == 6
+    two = pipeline.near_duplicate_stage(spark, spark.createDataFrame(odd, DOC), "").collect()
+    assert sorted((r.doc_id is None, r.text or "") for r in two) == sorted([(True, ""), (True, long_), (False, long_), (False, "other words"), (False, ""), (False, "")])

@@ -181,3 +181,62 @@ def test_attention_and_recurrence_gradients():
             assert g[k][at] == pytest.approx((up - loss(q)) / 2e-5, rel=2e-3, abs=1e-7), k
     finally:
         toxicity._F = before
+
+
+def test_quality_gradients():
+    """The hand-written gradients of the gated attention and of the words against differences."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefg"), int(rng.integers(1, 9)))) for _ in range(3)] + [""]
+    bags = [quality.passages(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts]
+    bags += [quality.passages(np.frombuffer(("w x yy " * 70).encode(), np.uint8), np.array([0, 490]))]  # several passages
+    whole, y = quality.joined(bags), np.array([0.0, 1.0, 1.0, 0.0, 1.0])
+    p = quality.start(3) | {"mean": whole.x.mean(0), "std": whole.x.std(0) + 0.1}
+    loss = lambda q: np.logaddexp(0, np.where(y > 0, -1, 1) * quality.forward(q, whole, 5)["s"]).mean()
+    g = quality.gradients(p, whole, 5, y)
+    word = int(whole.word[-1])
+    for k, at in (("E", (word, 2)), ("W", (quality.FEATURES + 1, 3)), ("W", (20, 5)), ("b", (4,)), ("V", (3, 2)), ("U", (1, 7)), ("w", (5,)), ("c", (2,)), ("d", (0,))):
+        up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        assert g[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=1e-4, abs=1e-9), k
+
+
+def test_long_texts_score_as_if_read_at_once(spark, monkeypatch):
+    """Texts of several pieces; each operator against its own kernel over the whole text."""
+    docs, labels = labelled(spark, 200)
+    rng = random.Random(8)
+    long_ = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(230_000)) + " vileword"
+    data, offs = np.frombuffer(long_.encode(), np.uint8), np.array([0, len(long_)])
+    table = spark.createDataFrame([(1, "short"), (2, long_), (3, "short")], "doc_id long, text string")
+    monkeypatch.setattr(quality, "PIECE_WORDS", 64 * 300)
+    model = quality.train(docs, labels)
+    want = quality.sigmoid(quality.forward(model, quality.passages(data, offs), 1)["s"])[0]
+    got = {r.doc_id: r.score for r in quality.score(table, model).collect()}
+    assert got[2] == pytest.approx(want) and got[1] == got[3]
+    monkeypatch.setattr(toxicity, "PIECE_WORDS", 16 * 500)
+    model = toxicity.train(docs, labels)
+    row, number, uniq, tri, begin = toxicity.word_table(data, offs)
+    x, _ = toxicity.inputs(model, model["vocab"], uniq, tri, begin)
+    ids = toxicity.windows(row, number, 1)[1]
+    want = toxicity.sigmoid(max(toxicity.network(model, x, ids[i : i + 4096])["s"].max() for i in range(0, len(ids), 4096)))
+    got = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+    assert got[2] == pytest.approx(float(want), rel=1e-5) and got[1] == got[3]
+    monkeypatch.setattr(langid, "CHARS", 1000)
+    parts = langid._grams_of([long_[:50_000].lower()])
+    _, _, _, feat, has, times = next(langid.grams([long_[:50_000]]))
+    assert has[0] and np.array_equal(np.bincount(parts[1], minlength=langid.BUCKETS), np.bincount(feat, times, langid.BUCKETS))
+
+
+def test_samples_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from blockloom.llm._fit import bounded_rows, labelled_sample
+
+    rows = [(i % 50, f"{i:03d}" + "x" * 97) for i in range(500)] + [(99, "y" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 20, 3, 1).collect()
+    assert len(got) <= 20 and len({r.doc_id for r in got}) == len(got)
+    assert all(r.text == f"{r.doc_id:03d}" + "x" * 97 for r in got if r.doc_id < 50)  # of repeated ids the smallest text
+    few = bounded_rows(docs, labels.select("doc_id"), F.col("doc_id"), 100, most_bytes=1050).collect()
+    assert sorted(r.doc_id for r in few) == list(range(10))
