@@ -47,7 +47,7 @@ BROADCAST_ROWS = 200_000
 #: Classes, and bytes of their sets, of one side of a block.
 BLOCK, BLOCK_BYTES = 1024, 6 << 20
 #: In the choice of partitions: the share of features that unrelated texts may have in common, and the signatures a candidate costs.
-COMMON, CANDIDATE = 0.3, 100
+COMMON, CANDIDATE = 0.3, 400
 #: Times that sets with many empty cells are signed, and the most of a band's sets that may need the next time.
 TIMES, MOST_BARE = 10, 0.2
 
