@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import chunking, documents, layout, profile, structure
 from ..sources import text as readers
+from .cuts import kept
 
 
 def chunk_texts(texts: DataFrame, options: chunking.ChunkOptions | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,9 +38,14 @@ def chunk_html(pages: DataFrame, options: chunking.ChunkOptions | None = None, i
 
 
 def layout_passes(raw: DataFrame, heights: DataFrame) -> DataFrame:
-    """Raw blocks of pages without furniture, with notes, title, imprint and contents pages marked."""
-    out = layout.mark_footnotes(layout.strip_furniture(raw, heights), heights)
-    return layout.mark_contents(layout.mark_imprint(layout.mark_title_page(out, heights)), heights)
+    """Raw blocks of pages without furniture, with notes, title, imprint and contents pages marked.
+
+    Each pass reads its blocks several times, so what a pass has made is kept before the next.
+    """
+    raw = kept(raw)
+    raw = kept(layout.strip_furniture(raw, heights))
+    raw = kept(layout.mark_imprint(layout.mark_title_page(layout.mark_footnotes(raw, heights), heights)))
+    return kept(layout.mark_contents(raw, heights))
 
 
 def pages_to_blocks(raw: DataFrame, heights: DataFrame, options: structure.StructureOptions | None = None, outline: DataFrame | None = None) -> DataFrame:
