@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import schema as S
+from .paths import heading_paths
 
 WORD = r"([a-zа-яёўқғҳà-ÿ]{3,})"
 
@@ -84,3 +90,85 @@ def compare(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     long_ = lambda df, name: df.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(c).cast("double") for c in names]))).alias("measure", name))
     both = long_(old, "old").join(long_(new, "new"), [key, "measure"], "full")
     return both.filter(~F.col("old").eqNullSafe(F.col("new")))
+
+
+# ---- paths against gold headings -----------------------------------------------------------------
+
+_POSITIONS = "document_id string, pos int, level int, text string"
+
+
+def gold_positions(gold: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(document_id, pos, level, text) of gold headings (pos, level, text) at the blocks that say them: each the first match behind the one before.
+
+    A heading that no later block says is left out. The order of both decides, so a document is one group.
+    """
+    g = gold.select("document_id", F.struct("pos", "level", "text", normal(F.col("text")).alias("key")).alias("g")).groupBy("document_id").agg(F.sort_array(F.collect_list("g")).alias("gold"))
+    arrow = to_arrow_schema(StructType.fromDDL(_POSITIONS))
+    b = blocks.select("document_id", F.struct("pos", normal(F.col("text")).alias("key")).alias("b")).groupBy("document_id").agg(F.sort_array(F.collect_list("b")).alias("blocks"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc in batch.to_pylist():
+                at = 0
+                for h in doc["gold"]:
+                    same = lambda k, h=h: bool(k) and (k.startswith(h["key"][:120]) or (len(k) >= 6 and h["key"].startswith(k[:120])))
+                    hit = next((i for i in range(at, len(doc["blocks"])) if same(doc["blocks"][i]["key"])), None)
+                    if hit is not None:
+                        out.append({"document_id": doc["document_id"], "pos": doc["blocks"][hit]["pos"], "level": h["level"], "text": h["text"]})
+                        at = hit + 1
+            yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+
+    return g.join(b, "document_id").select("document_id", "gold", "blocks").mapInArrow(rows, _POSITIONS)
+
+
+def chunk_starts(blocks: DataFrame, chunks: DataFrame, opening: int = 60) -> DataFrame:
+    """(document_id, chunk_index, pos): the first block whose opening words a chunk begins with; of several, the nearest behind the chunk before.
+
+    Openings are joined by equality, so only blocks that begin alike are compared.
+    """
+    open_ = lambda c: F.substring(normal(c), 1, opening)
+    b = blocks.filter("trim(text) <> ''").select("document_id", "pos", F.col("type").alias("_type"), open_(F.split("text", "\n")[0]).alias("key")).filter("key <> ''")
+    lines = chunks.select("document_id", "chunk_index", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("key", open_(F.col("line"))).filter("key <> ''")
+    hits = lines.join(b, ["document_id", "key"]).groupBy("document_id", "chunk_index").agg(F.min(F.struct("n", "pos")).alias("first"), F.sort_array(F.collect_set(F.struct("n", "pos"))).alias("all"))
+    before = F.lag("first.pos").over(Window.partitionBy("document_id").orderBy("chunk_index"))
+    hits = hits.withColumn("_behind", F.coalesce(before, F.lit(-1)))
+    near = F.filter("all", lambda x: (x["n"] == F.col("first.n")) & (x["pos"] >= F.col("_behind")))
+    return hits.select("document_id", "chunk_index", F.coalesce(F.try_element_at(near, F.lit(1))["pos"], F.col("first.pos")).alias("pos"))
+
+
+def path_accuracy(gold: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id, chunks, right, accuracy): chunks whose heading path is the gold path where they begin."""
+    stops = gold_positions(gold, blocks).select("document_id", "pos", F.lit(0).alias("_kind"), "level", "text", F.lit(None).cast("int").alias("chunk_index"))
+    starts = chunk_starts(blocks, chunks).select("document_id", "pos", F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("text"), "chunk_index")
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("pos", "_kind"))
+    track = stops.unionByName(starts).withColumn("pos", order)
+    known = heading_paths(track).filter("_kind = 1").select("document_id", "chunk_index", F.transform("path", lambda x: normal(x)).alias("want"))
+    said = chunks.select("document_id", "chunk_index", F.transform("heading_path", lambda x: normal(x)).alias("got"))
+    both = known.join(said, ["document_id", "chunk_index"])
+    return both.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum((F.col("want") == F.col("got")).cast("int")).alias("right")).withColumn("accuracy", F.col("right") / F.col("chunks"))
+
+
+def source_text(lines: DataFrame) -> DataFrame:
+    """(document_id, page, text): the lines of a page in reading order, as the reader found them."""
+    said = lines.groupBy("document_id", "page").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("original", "text").alias("t")))).alias("l"))
+    return said.select("document_id", "page", F.array_join("l.t", "\n").alias("text"))
+
+
+def draft_gold(blocks: DataFrame) -> DataFrame:
+    """(document_id, json): the headings found, in the form of gold files, to be corrected by hand."""
+    heads = blocks.filter(F.col("type") == S.HEADING).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "level"))).alias("h"))
+    return heads.select("document_id", F.to_json(F.struct(F.transform("h", lambda x: F.struct(x["text"].alias("text"), x["level"].alias("level"), F.lit(False).alias("optional"))).alias("headings"))).alias("json"))
+
+
+def report(source: DataFrame, blocks: DataFrame, chunks: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """One row a document with every measure; ``source``: document_id, text; ``gold``: document_id, pos, level, text, optional."""
+    kept = blocks.filter("text <> ''").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("b")).select("document_id", F.array_join("b.text", "\n").alias("text"))
+    out = fidelity(source, kept, "document_id").select("document_id", "fidelity")
+    order = order_kept(source, kept, "document_id").select("document_id", (F.col("near") / F.col("pairs")).alias("order"))
+    parts = [order, chunk_scores(chunks), artifacts(blocks)]
+    if gold is not None:
+        parts += [heading_scores(gold, blocks), path_accuracy(gold, blocks, chunks).select("document_id", F.col("accuracy").alias("path_accuracy"))]
+    for p in parts:
+        out = out.join(p, "document_id", "full")
+    return out

@@ -566,3 +566,9 @@ def mark_headings(items: Sequence[Item], known: Callable[[str, int], tuple | Non
     sequences(s, decide(s, known))
     for correct in (plan_entries, lead_ins, captions, run_ins, inside_tables, diagram_labels, repeated, next_sections, roman_chapters, place):
         correct(s)
+
+
+def tag_failures(raws: Sequence[Raw]) -> tuple[int, int]:
+    """(headings that a file's tags name, those of them whose text can't be one): what tags are distrusted by."""
+    named = [Item(r, r.text) for r in raws if r.heading_level is not None and r.heading_source == "tags" and r.text.strip()]
+    return (len(named), int((~Sheet(named, None).can(True)).sum())) if named else (0, 0)

@@ -100,3 +100,34 @@ def most_frequent(counted: DataFrame, label: str, k: int) -> DataFrame:
     """(label, n, gram, count, rank): the k most frequent of each label and order; ties by gram."""
     w = Window.partitionBy(label, "n").orderBy(F.desc("count"), "gram")
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def conllu_sentences(lines: DataFrame) -> DataFrame:
+    """(text) of the comment lines of CoNLL-U files that hold a sentence; ``lines`` as spark.read.text gives them."""
+    return lines.filter(F.col("value").startswith("# text = ")).select(F.expr("substring(value, 10)").alias("text"))
+
+
+def book_lines(books: DataFrame, most: int = 4_000_000, least: int = 40) -> DataFrame:
+    """(text): lines of ``least`` characters or more of books (book, text), book by book until ``most`` characters are reached."""
+    lines = books.select("book", F.posexplode(F.split("text", "\n")).alias("n", "text")).filter(F.char_length(F.trim("text")) >= least).withColumn("n_chars", F.char_length("text").cast("long"))
+    sizes = lines.groupBy("book").agg(F.sum("n_chars").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("book").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("n_chars").over(Window.partitionBy("book").orderBy("n"))
+    full = lines.join(sizes.select("book", before.alias("before")).filter(F.col("before") < most), "book")
+    return full.withColumn("upto", F.col("before") + within).filter(F.col("upto") <= most).select("text")
+
+
+def held_out_accuracy(table: DataFrame, floors: DataFrame, held: DataFrame, label: str, sizes: tuple[int, ...] = (1, 2, 3, 5)) -> DataFrame:
+    """(words, texts, accuracy): how often the first words of held-out texts (label, text), and whole texts (0), have the model's best score for their own label.
+
+    The model is joined to the n-grams of the words; what it doesn't hold scores the floor of its order.
+    """
+    rows = held.withColumn("_id", F.monotonically_increasing_id()).select("_id", F.col(label).alias("_own"), "text")
+    t = F.regexp_replace(F.lower("text"), "[‘’`´′＇ʻʼʹ]", "'")
+    said = rows.select("_id", "_own", F.posexplode(F.regexp_extract_all(t, F.lit(r"(\p{L}+(?:'\p{L}+)*'?)"), F.lit(1))).alias("_at", "word"))
+    said = said.withColumn("words", F.explode(F.array(*[F.when(F.col("_at") < k, F.lit(k)) if k else F.lit(0) for k in (*sizes, 0)]))).filter("words is not null")
+    grams = ngrams(said.withColumnRenamed("_own", "own"), "own", "_id", "words").groupBy("_id", "own", "words", "n", "gram").count()
+    scored = grams.join(floors.select(label, "n", "floor"), "n").join(table.select("n", "gram", label, "lp"), ["n", "gram", label], "left")
+    totals = scored.groupBy("_id", "own", "words", label).agg(F.sum(F.col("count") * F.coalesce("lp", "floor")).alias("score"))
+    best = totals.groupBy("_id", "own", "words").agg(F.max_by(label, F.struct("score", label)).alias("best"))
+    return best.groupBy("words").agg(F.count(F.lit(1)).alias("texts"), F.avg((F.col("best") == F.col("own")).cast("double")).alias("accuracy"))
