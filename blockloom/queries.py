@@ -269,6 +269,14 @@ def oracle_sql() -> dict[str, str]:
             WITH c AS (SELECT doc_id, string_split(unnest(regexp_extract_all(lower(text), '([\p{L}\p{Nl}\p{No}]+(?:-[\p{L}\p{Nl}\p{No}]+)+)', 1)), '-') AS p FROM documents),
             q AS (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM c)
             SELECT p[i] || '-' || p[i + 1] AS pair, count(DISTINCT doc_id) AS docs FROM q GROUP BY 1""",
+        # texts of one script, with plain apostrophes and without symbol fonts: what is left of cleanup is space, line ends and leaders
+        "clean_texts": r"""
+            WITH a AS (SELECT doc_id, regexp_replace(nfc_normalize(text), '[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g') AS t FROM documents),
+            b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '\.( *\.){3,}', ' … ', 'g') AS t FROM a),
+            c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, ' {2,}', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM b)
+            SELECT doc_id, trim(t, ' ' || chr(10)) AS text, 0::INT AS mixed_words, 0::INT AS symbols_mapped, 0::INT AS symbols_removed FROM c""",
+        # words of one line only, but for a word that the line end cuts
+        "repaired_texts": r"SELECT doc_id, regexp_replace(text, '(\p{L})-[ \t]*\n[ \t]*(\p{Ll})', '\1\2', 'g') AS text FROM documents",
         "nfc_texts": "SELECT doc_id, sha1(nfc_normalize(text)) AS sha FROM documents",
         "document_ids": """
             SELECT conv_id, left(sha1(conv_id::VARCHAR || chr(0) || string_agg(role || ': ' || text, chr(10) ORDER BY turn)), 16) AS document_id FROM conversations GROUP BY conv_id""",
