@@ -31,7 +31,7 @@ BLOCK = 1024
 
 def plan_tables(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     """(bits of a table, tables): buckets of about 128 vectors, tables enough for the miss rate."""
-    bits = max(2, min(16, round(math.log2(max(n, 1) / 128)) if n > 128 else 2))
+    bits = max(2, min(30, round(math.log2(max(n, 1) / 128)) if n > 128 else 2))  # 30: keys are whole numbers of 32 bits
     hit = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - hit))
 
