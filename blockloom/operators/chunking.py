@@ -23,6 +23,7 @@ from ..functions import language as lang
 from ..functions.numbering import names_appendix
 from ..functions.sentences import split
 from ..functions.tokens import estimate
+from .spread import spread
 
 _BLANK_LINE = "\n\n"
 _FIGURES = ("figure", "formula", "image")
@@ -391,7 +392,7 @@ def chunk_rows(texts: DataFrame, read: Callable[[str], list[dict]], options: Chu
                     out = []
             yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
 
-    return texts.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, out_schema)
+    return spread(texts.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(rows, out_schema)
 
 
 _PLAIN = {"type": S.PARAGRAPH, "page": 1, "page_end": 1, "level": None, "role": None, "rows": None, "spans": None}
