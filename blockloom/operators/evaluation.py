@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,9 @@ from .. import schema as S
 from .paths import heading_paths
 
 WORD = r"([a-zа-яёўқғҳà-ÿ]{3,})"
+_WORD = re.compile(WORD)
+#: Pairs of one output that are looked up at a time, and buckets of keys that come in several rows.
+_PAIRS, _BUCKETS = 1 << 20, 1 << 20
 
 
 def long_words(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -40,6 +45,41 @@ def order_kept(source: DataFrame, kept: DataFrame, key: str, reach: int = 4) ->
     return hit.groupBy(key).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.coalesce("hit", F.lit(0))).alias("near"))
 
 
+def _near(source: str, kept: str, reach: int) -> tuple[int, int]:
+    """Words of the output, and how many of its pairs stand near in the source: of these, only those asked for are held."""
+    same: dict[str, str] = {}
+    words, out = ([same.setdefault(w := m[0], w) for m in _WORD.finditer(t)] for t in (source, kept))
+    near = 0
+    for at in range(0, len(out) - 1, _PAIRS):
+        asked = list(zip(out[at : at + _PAIRS], out[at + 1 : at + 1 + _PAIRS], strict=False))
+        once = set(asked)
+        met = set().union(*(once.intersection(zip(words, islice(words, k, None), strict=False)) for k in range(1, reach + 1)))
+        near += sum(map(met.__contains__, asked))
+    return len(out), near
+
+
+def order_in_rows(rows: DataFrame, key: str, source: str, kept: str, reach: int = 4) -> DataFrame:
+    """What ``order_kept`` gives for rows that hold both texts of a document: no text and no word is shuffled.
+
+    Keys that come in several rows go the way of ``order_kept``, together with all keys of their bucket. A null key meets no source.
+    """
+    rows = rows.select(key, F.col(source).alias("source"), F.col(kept).alias("kept"), F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int").alias("_bucket"))
+    several = F.broadcast(rows.filter(F.col(key).isNotNull()).groupBy(key, "_bucket").count().filter("count > 1").select("_bucket").distinct())
+    again = rows.join(several, "_bucket", "left_semi")
+    by_words = order_kept(again.select(key, F.col("source").alias("text")), again.select(key, F.col("kept").alias("text")), key, reach)
+    lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    once = rows.join(several, "_bucket", "left_anti").select(key, lower(F.when(F.col(key).isNotNull(), F.col("source"))).alias("source"), lower("kept").alias("kept"))
+    schema = StructType([once.schema[key], *StructType.fromDDL("words long, near long")])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_near(s.as_py(), k.as_py(), reach) for s, k in zip(b.column(1), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in found], pa.int64()) for i in range(2))], names=schema.names)
+
+    sums = once.mapInArrow(counts, schema).groupBy(key).agg((F.sum("words") - 1).alias("pairs"), F.sum("near").alias("near"))
+    return sums.filter("pairs > 0").unionByName(by_words)
+
+
 def normal(text: Column) -> Column:
     """Lower case, one apostrophe dropped, no punctuation, single spaces: what titles are compared by."""
     t = F.regexp_replace(F.lower(text), "['‘’`´′＇ʻʼʹ]", "")
