@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +17,8 @@ from .paths import heading_paths
 
 WORD = r"([a-zа-яёўқғҳà-ÿ]{3,})"
 _WORD = re.compile(WORD)
-#: Pairs of one output that are looked up at a time, and buckets of keys that come in several rows.
-_PAIRS, _BUCKETS = 1 << 20, 1 << 20
+#: Words from which on a text is long, and buckets of keys that come in several rows.
+_LONG, _BUCKETS = 1 << 16, 1 << 20
 
 
 def long_words(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -45,17 +45,24 @@ def order_kept(source: DataFrame, kept: DataFrame, key: str, reach: int = 4) ->
     return hit.groupBy(key).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.coalesce("hit", F.lit(0))).alias("near"))
 
 
-def _near(source: str, kept: str, reach: int) -> tuple[int, int]:
-    """Words of the output, and how many of its pairs stand near in the source: of these, only those asked for are held."""
-    same: dict[str, str] = {}
-    words, out = ([same.setdefault(w := m[0], w) for m in _WORD.finditer(t)] for t in (source, kept))
-    near = 0
-    for at in range(0, len(out) - 1, _PAIRS):
-        asked = list(zip(out[at : at + _PAIRS], out[at + 1 : at + 1 + _PAIRS], strict=False))
-        once = set(asked)
-        met = set().union(*(once.intersection(zip(words, islice(words, k, None), strict=False)) for k in range(1, reach + 1)))
-        near += sum(map(met.__contains__, asked))
-    return len(out), near
+def _near(source: pa.StringScalar, kept: pa.StringScalar, reach: int) -> tuple[int, int]:
+    """Words of the output, and how many of its pairs stand near in the source; long texts by sorted numbers, which take less room than sets."""
+    number: dict[str, int] = {}
+    words, out = ([number.setdefault(m[0], len(number)) for m in _WORD.finditer(t.as_py())] for t in (source, kept))
+    if max(len(words), len(out)) <= _LONG:
+        pairs = list(zip(out, out[1:], strict=False))
+        asked = set(pairs)
+        met = set().union(*(asked.intersection(zip(words, words[k:], strict=False)) for k in range(1, reach + 1)))
+        return len(out), sum(map(met.__contains__, pairs))
+    size = len(out)
+    words, out = np.array(words, "int64"), np.array(out, "int64")
+    pairs = out[:-1] * len(number) + out[1:]
+    hit = np.zeros(len(pairs), bool)
+    for k in range(1, min(reach, len(words) - 1) + 1):
+        there = words[:-k] * len(number) + words[k:]
+        there.sort()
+        hit |= there[np.searchsorted(there[:-1], pairs)] == pairs
+    return size, int(hit.sum())
 
 
 def order_in_rows(rows: DataFrame, key: str, source: str, kept: str, reach: int = 4) -> DataFrame:
@@ -73,7 +80,7 @@ def order_in_rows(rows: DataFrame, key: str, source: str, kept: str, reach: int
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_near(s.as_py(), k.as_py(), reach) for s, k in zip(b.column(1), b.column(2), strict=True)]
+            found = [_near(s, k, reach) for s, k in zip(b.column(1), b.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in found], pa.int64()) for i in range(2))], names=schema.names)
 
     sums = once.mapInArrow(counts, schema).groupBy(key).agg((F.sum("words") - 1).alias("pairs"), F.sum("near").alias("near"))

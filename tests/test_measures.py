@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from blockloom import queries as Q
@@ -40,16 +41,16 @@ def test_paths_against_gold(spark, blocks):
 
 
 def test_near_pairs_of_two_texts(monkeypatch):
-    """Pieces of pairs, however short, give what all pairs of the source give; words of one or two letters are none."""
+    """Short and long texts alike give what all pairs of the source give; words of one or two letters are none."""
     rng = random.Random(7)
-    for n in (0, 1, 2, 3, 40, 300):
-        words, out = ([rng.choice(("bir", "ikki", "uch", "yoʻl", "тўрт", "bo", "kitob", "qalam")) for _ in range(m)] for m in (n, n + 5))
+    for n, m in ((0, 0), (0, 9), (1, 6), (2, 1), (3, 0), (40, 45), (300, 305)):
+        words, out = ([rng.choice(("bir", "ikki", "uch", "yoʻl", "тўрт", "bo", "kitob", "qalam")) for _ in range(size)] for size in (n, m))
         source, kept = ", ".join(words), "\n".join(out)
         w, o = (evaluation._WORD.findall(t) for t in (source, kept))
         near = {p for k in range(1, 4) for p in zip(w, w[k:])}
-        for size in (1, 7, 1 << 20):
-            monkeypatch.setattr(evaluation, "_PAIRS", size)
-            assert evaluation._near(source, kept, 3) == (len(o), sum(p in near for p in zip(o, o[1:])))
+        for long_ in (-1, 1 << 16):
+            monkeypatch.setattr(evaluation, "_LONG", long_)
+            assert evaluation._near(pa.scalar(source), pa.scalar(kept), 3) == (len(o), sum(p in near for p in zip(o, o[1:])))
 
 
 def test_order_in_rows_is_order_kept(spark):
